@@ -66,9 +66,9 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pack, edges = tokens.pieces(tokenizer, True), zstandard.ZstdCompressor(1), np.array(cuts, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, counts = model.encode(part.column(1).to_pylist())
+            for at in range(0, batch.num_rows, 2500):
+                part = batch.slice(at, 2500)
+                ids, counts = model.encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)
                 packed = [pack.compress(_planes(x)) for x in np.split(ids, ends[:-1])]

@@ -13,11 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps; then it starts anew.
 KEPT = 1_000_000
-_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -50,31 +51,42 @@ class Pieces:
             self.starts[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(lens)
             self.used, self.n = self.used + total, self.n + n
 
-    def _cut(self, text: str) -> list[str]:
-        if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
-        if odd or (any(c in text for c in _CONTROLS) if text.isascii() else _ODD.search(text)):
-            parts = _LONE.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]] if parts[0] else [" " + x for x in parts[1:]]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.of) > self.kept:
-            self.clear()
-        of, index, counts, new = self.of, [], np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            parts = self._cut(text)
-            for x in set(parts).difference(of):
+    def _codes(self, parts: list[str]) -> np.ndarray:
+        """The numbers of these pieces, new ones encoded together."""
+        of, new = self.of, []
+        for x in parts:
+            if x not in of:
                 of[x] = self.n + len(new)
                 new.append(x)
-            index += map(of.__getitem__, parts)
-            counts[i] = len(parts)
         self._learn(new)
-        at = np.array(index, np.int64)
+        return np.fromiter(map(of.__getitem__, parts), np.int64, len(parts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.of) > self.kept:
+            self.clear()
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        if self.keeps_space:
+            for found in (pc.match_substring_regex(texts, _ODD), *(pc.match_substring(texts, x) for x in ("  ", "\n ", " \n")), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+                odd |= found.to_numpy(zero_copy_only=False)
+            cut = pc.split_pattern(texts, " ")
+        else:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # Each distinct part is looked up once; the hash table over all parts is Arrow's.
+        flat, places = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        places = places - places[0]
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = self._codes([" " + x for x in distinct] if self.keeps_space else distinct)[coded.indices.to_numpy()]
+        if self.keeps_space and len(texts):
+            at[places[:-1]] = self._codes(flat.take(pa.array(places[:-1])).to_pylist())
+        counts = np.diff(places)
+        if odd.any():
+            own = np.split(at, places[1:-1])
+            for i in np.flatnonzero(odd):
+                parts = _LONE.split(texts[int(i)].as_py())
+                own[i] = self._codes([parts[0], *[" " + x for x in parts[1:]]])
+            at, counts = np.concatenate(own), np.array([len(x) for x in own])
         lens = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
