@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, one a operator, each over its whole table."""
+"""The registered queries of this subpackage, one an operator, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, scratch, tokenfile
+from . import chat, decontam, htmltext, jaccard, packing, quality, scratch, secrets, syncmers, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,52 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, at)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1,
     "op2_token_file": op2,
+    "op3_ngram_jaccard_join": op3,
+    "op4_chat_formatting": op4,
+    "op5_document_fingerprints": op5,
+    "op6_html_extraction": op6,
+    "op7_decontamination": op7,
+    "op8_quality": op8,
+    "op9_toxicity": op9,
+    "op10_secret_scan": op10,
 }
 
-SQL: dict[str, str] = {}
+#: Only canonical JSON of plain messages has a SQL form.
+SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL}
