@@ -10,15 +10,26 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import textkernel
+
 #: Pieces whose ids a worker keeps; then it starts anew.
 KEPT = 1_000_000
 _ODD = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes that any of these may hold.
+_RARE = np.zeros(256, bool)
+_RARE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Latin letters whose lower case and normal form do not depend on what stands around them; ASCII marks but no apostrophe.
+_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\[-`{-~]*)")
+# Byte-level BPE shows each byte as a character: printable ones as themselves, the others from 256 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -36,18 +47,48 @@ class Pieces:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
+        self.known: dict[str, list[int]] = {}
         self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
 
+    def _ids(self, new: list[str]) -> list[list[int]]:
+        """Ids of pieces: letters with marks behind them are at most two pre-tokens, which go to the library's BPE model at
+        once; any other piece goes through its whole chain."""
+        out, rest, known, tokenize, keeps = [], [], self.known, self.model.model.tokenize, self.keeps_space
+        for k, x in enumerate(new):
+            m = _SIMPLE.fullmatch(x)
+            if not m:
+                rest.append(k)
+                out.append([])
+                continue
+            letters, marks = m.groups()
+            at = self.of.get(letters, self.n) if marks else self.n
+            if at < self.n:  # the same letters were seen with other marks
+                ids = self.flat[self.starts[at] : self.starts[at + 1]].tolist()
+            else:
+                head = letters if keeps else letters.lower()
+                head = "\u0120" * (head[0] == " ") + head.lstrip(" ") if head.isascii() else head.encode().decode("latin-1").translate(_SHOWN)
+                ids = [t.id for t in tokenize(head)]
+            if marks:
+                if marks not in known:
+                    known[marks] = [t.id for t in tokenize(marks)]
+                ids += known[marks]
+            out.append(ids)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for k, x in zip(part, self.model.encode_batch([new[k] for k in part], add_special_tokens=False)):
+                out[k] = x.ids
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            ids = [x.ids for x in self.model.encode_batch(new[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(new), 50_000):
+            ids = self._ids(new[at : at + 50_000])
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             total, n = int(lens.sum()), len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.n + n + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             self.starts[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(lens)
             self.used, self.n = self.used + total, self.n + n
 
@@ -65,13 +106,17 @@ class Pieces:
         if len(self.of) > self.kept:
             self.clear()
         texts = pc.fill_null(texts, "")
+        # Lines of BPE with spaces stand apart: their first part has no space, and a lone line end is a token of its own.
+        lines = pc.split_pattern(texts, "\n")
+        counts = np.diff(lines.offsets.to_numpy().astype(np.int64))
         odd = np.zeros(len(texts), bool)
         if self.keeps_space:
-            for found in (pc.match_substring_regex(texts, _ODD), *(pc.match_substring(texts, x) for x in ("  ", "\n ", " \n")), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+            tests = [pc.match_substring(texts, x) for x in ("  ", "\n ", " \n", "\n\n")] + [f(texts, x) for f in (pc.starts_with, pc.ends_with) for x in (" ", "\n")]
+            if _RARE[textkernel.raw(texts)[0]].any():
+                tests.append(pc.match_substring_regex(texts, _ODD))
+            for found in tests:
                 odd |= found.to_numpy(zero_copy_only=False)
-            cut = pc.split_pattern(texts, " ")
-        else:
-            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = pc.split_pattern(lines.flatten(), " ")
         # Each distinct part is looked up once; the hash table over all parts is Arrow's.
         flat, places = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         places = places - places[0]
@@ -80,9 +125,15 @@ class Pieces:
         at = self._codes([" " + x for x in distinct] if self.keeps_space else distinct)[coded.indices.to_numpy()]
         if self.keeps_space and len(texts):
             at[places[:-1]] = self._codes(flat.take(pa.array(places[:-1])).to_pylist())
-        counts = np.diff(places)
+            # A line end behind every line that is not the last of its text.
+            inner = np.ones(len(places) - 1, bool)
+            inner[np.cumsum(counts) - 1] = False
+            at = np.insert(at, places[1:][inner], self._codes(["\n"])[0])
+            places = places + np.concatenate([[0], np.cumsum(inner)])
+        ends = places[np.cumsum(counts)]
+        counts = np.diff(np.concatenate([[0], ends]))
         if odd.any():
-            own = np.split(at, places[1:-1])
+            own = np.split(at, ends[:-1])
             for i in np.flatnonzero(odd):
                 parts = _LONE.split(texts[int(i)].as_py())
                 own[i] = self._codes([parts[0], *[" " + x for x in parts[1:]]])
