@@ -94,10 +94,11 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _bisect(edges: Column, value: Column, n: int) -> Column:
-    low = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
+    """How many of the n sorted edges are at or below value."""
+    low, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
     while step:
-        low = F.when((low + step <= n) & (F.get(edges, low + step - 1) <= value), low + step).otherwise(low)
+        # Each step is bound to a variable, so the expression grows with the number of steps only.
+        low = _let(low, lambda x, step=step: F.when((x + step <= n) & (F.get(edges, x + (step - 1)) <= value), x + step).otherwise(x))
         step >>= 1
     return low
 
