@@ -95,10 +95,14 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _bisect(edges: Column, value: Column, n: int) -> Column:
     """How many of the n sorted edges are at or below value."""
+
+    def further(step: int):
+        return lambda x: F.when((x + step <= n) & (F.get(edges, x + (step - 1)) <= value), x + step).otherwise(x)
+
     low, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
     while step:
         # Each step is bound to a variable, so the expression grows with the number of steps only.
-        low = _let(low, lambda x, step=step: F.when((x + step <= n) & (F.get(edges, x + (step - 1)) <= value), x + step).otherwise(x))
+        low = _let(low, further(step))
         step >>= 1
     return low
 
