@@ -101,16 +101,18 @@ class IndexManager:
             raise CorvaneError(f"index {name} has {len(entry['fields'])} fields")
         return sorted(r["pk"] for r in self.matching(self.indexed(name), entry["fields"], values).select("pk").toLocalIterator())
 
-    def range_scan(self, name: str, low, high) -> list[str]:
-        """Keys in order of the one field from low to high, both included."""
+    def range_frame(self, name: str, low, high) -> DataFrame:
+        """pk and v, the one field's value, of documents with it from low to high, both included."""
         entry = self._entry(name)
         if len(entry["fields"]) != 1:
             raise CorvaneError("a range scan needs an index of one field")
         f = entry["fields"][0]
-        value = _typed(f, low)
         right_kind = F.schema_of_variant(field(f)).rlike("^(" + "|".join(_kind(low)) + ")")
-        rows = self.indexed(name).where(right_kind & value.between(low, high)).select("pk", value.alias("v")).orderBy("v", "pk")
-        return [r["pk"] for r in rows.toLocalIterator()]
+        return self.indexed(name).select("pk", _typed(f, low).alias("v"), right_kind.alias("ok")).where(F.col("ok") & F.col("v").between(low, high)).drop("ok")
+
+    def range_scan(self, name: str, low, high) -> list[str]:
+        """Keys in the order of the field."""
+        return [r["pk"] for r in self.range_frame(name, low, high).orderBy("v", "pk").toLocalIterator()]
 
     def violations(self, name: str) -> DataFrame:
         """Field values that more than one document has."""

@@ -20,10 +20,10 @@ def read_jsonl(spark, path: str, key_field: str | None = None, prefix: str = "")
     return numbered.select(F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 20, "0")).alias("key"), "value")
 
 
-def checksum(df: DataFrame) -> Column:
+def checksum() -> Column:
     """The sum over rows of crc32(key, zero byte, value), modulo 2 to the 64."""
     one = F.crc32(F.concat(F.col("key").cast("binary"), F.lit(bytearray(b"\0")), F.col("value").cast("binary")))
-    return (F.sum(one.cast("decimal(20,0)")) % F.lit(1 << 64).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (F.sum(one.cast("decimal(20,0)")) % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 @dataclass
@@ -44,5 +44,5 @@ def verify(kv: KeyValue, rows: DataFrame) -> Report:
     seen = rows.groupBy("key").agg(F.max("value").alias("value"))
     there = kv.frame().select(F.col("key").alias("k"), F.col("value").alias("v"))
     both = seen.join(there, F.col("key") == F.col("k"), "left")
-    got = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("v"))).alias("bad"), checksum(both).alias("c")).first()
+    got = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("v"))).alias("bad"), checksum().alias("c")).first()
     return Report(got["n"], got["bad"], int(got["c"] or 0))

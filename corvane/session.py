@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import decimal
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -20,7 +19,7 @@ from .plans import ast as a
 from .plans import params
 from .plans.lowering import Lowering, Table
 from .plans.parser import parse
-from .sources import backup
+from .sources import backup, workspace
 from .sources.catalog import External, missing
 from .sources.kv import KeyValue
 from .sources.store import DELETED, Store
@@ -86,9 +85,9 @@ class Session:
 
     @property
     def store(self) -> Store:
-        """The folder of managed tables, made on first use (a temporary one if no path was given: one machine only)."""
+        """The folder of managed tables, made on first use (a new one in the workspace if no path was given)."""
         if self._store is None:
-            self._store = Store(self.spark, self._path or tempfile.mkdtemp(prefix="corvane_store_"))
+            self._store = Store(self.spark, self._path or workspace.folder(self.spark))
         return self._store
 
     # Registration and key-value access.
