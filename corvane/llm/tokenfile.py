@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,20 +62,29 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) -> DataFrame:
-    """_pid, doc_id, n_tokens, ids (compressed little-endian): _pid is the range of doc_id that the row belongs to."""
+    """_pid, doc_id, n_tokens, ids (compressed): _pid is the range of doc_id that the row belongs to.
+
+    A task's last row has n_tokens 0, which no document has, and holds how often the task saw each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pack, edges = tokens.pieces(tokenizer, True), zstandard.ZstdCompressor(1), np.array(cuts, np.int64)
+        seen = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2500):
                 part = batch.slice(at, 2500)
                 ids, counts = model.encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)
+                more = np.bincount(ids, minlength=len(seen))
+                more[: len(seen)] += seen
+                seen = more
                 packed = [pack.compress(_planes(x)) for x in np.split(ids, ends[:-1])]
                 key = part.column(0)
                 pid = np.searchsorted(edges, key.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pid), key, pa.array(counts + 1), pa.array(packed, pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
+        task = TaskContext.get().partitionId() % (len(cuts) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([None], pa.int64()), pa.array([0]), pa.array([pack.compress(seen.astype("<i8").tobytes())], pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "_pid int, doc_id long, n_tokens long, ids binary")
 
@@ -121,18 +131,15 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
     stage = scratch.keep(raw.mapInArrow(number, "_pid int, doc_id long, n_tokens long, ids binary, start long"), "stage")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            ids = np.concatenate([_ids(x.as_py(), unpack) for x in b.column(0)]) if b.num_rows else np.zeros(0, np.uint32)
-            more = np.bincount(ids)
-            if len(more) > len(seen):
-                seen, more = more, seen
-            seen[: len(more)] += more
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["id", "n"])
+            for x in b.column(0).to_pylist():
+                seen = np.frombuffer(unpack.decompress(x), "<i8")
+                some = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["id", "n"])
 
     # As many rows as ids in use: the vocabulary bounds what the driver and a broadcast hold.
-    seen = stage.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = stage.where("n_tokens = 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     seen = sorted(((-r["n"], r["id"]) for r in seen))
     ranked = np.array([i for _, i in seen], np.int64)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
@@ -163,7 +170,7 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
             yield block()
 
     kind = "part int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    stage.mapInArrow(blocks, kind).write.option("compression", "zstd").parquet(f"{at}/blocks")
+    stage.where("n_tokens > 0").mapInArrow(blocks, kind).write.option("compression", "zstd").parquet(f"{at}/blocks")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{at}/ranks")
 
 

@@ -20,16 +20,19 @@ import pyarrow.compute as pc
 from . import textkernel
 
 #: Pieces whose ids a worker keeps; then it starts anew.
-KEPT = 1_000_000
+KEPT = 1_300_000
 _ODD = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes that any of these may hold.
 _RARE = np.zeros(256, bool)
 _RARE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Latin letters whose lower case and normal form do not depend on what stands around them; ASCII marks but no apostrophe.
-_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_NONE: list[int] = []
 # Byte-level BPE shows each byte as a character: printable ones as themselves, the others from 256 on, in order.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SPACE = chr(_SHOWN[32])
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -53,26 +56,28 @@ class Pieces:
     def _ids(self, new: list[str]) -> list[list[int]]:
         """Ids of pieces: letters with marks behind them are at most two pre-tokens, which go to the library's BPE model at
         once; any other piece goes through its whole chain."""
-        out, rest, known, tokenize, keeps = [], [], self.known, self.model.model.tokenize, self.keeps_space
+        out: list[list[int]] = [_NONE] * len(new)
+        rest, known, tokenize, keeps, of, n = [], self.known, self.model.model.tokenize, self.keeps_space, self.of, self.n
+        flat, starts = self.flat, self.starts
         for k, x in enumerate(new):
-            m = _SIMPLE.fullmatch(x)
-            if not m:
-                rest.append(k)
-                out.append([])
-                continue
-            letters, marks = m.groups()
-            at = self.of.get(letters, self.n) if marks else self.n
-            if at < self.n:  # the same letters were seen with other marks
-                ids = self.flat[self.starts[at] : self.starts[at + 1]].tolist()
+            stem = x.rstrip(_MARKS)
+            body = stem[1:] if keeps and stem[:1] == " " else stem
+            if body.isalpha() and (body.isascii() or _LATIN.fullmatch(body)):
+                if stem is not x and (at := of.get(stem, n)) < n:  # the same letters were seen with other marks
+                    ids = flat[starts[at] : starts[at + 1]].tolist()
+                else:
+                    head = body if keeps else body.lower()
+                    if not head.isascii():
+                        head = head.encode().decode("latin-1").translate(_SHOWN)
+                    ids = [t.id for t in tokenize(_SPACE + head if body is not stem else head)]
+                if stem is not x and len(stem) < len(x):
+                    marks = x[len(stem) :]
+                    if marks not in known:
+                        known[marks] = [t.id for t in tokenize(marks)]
+                    ids = ids + known[marks]
+                out[k] = ids
             else:
-                head = letters if keeps else letters.lower()
-                head = "\u0120" * (head[0] == " ") + head.lstrip(" ") if head.isascii() else head.encode().decode("latin-1").translate(_SHOWN)
-                ids = [t.id for t in tokenize(head)]
-            if marks:
-                if marks not in known:
-                    known[marks] = [t.id for t in tokenize(marks)]
-                ids += known[marks]
-            out.append(ids)
+                rest.append(k)
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             for k, x in zip(part, self.model.encode_batch([new[k] for k in part], add_special_tokens=False)):
@@ -94,11 +99,9 @@ class Pieces:
 
     def _codes(self, parts: list[str]) -> np.ndarray:
         """The numbers of these pieces, new ones encoded together."""
-        of, new = self.of, []
-        for x in parts:
-            if x not in of:
-                of[x] = self.n + len(new)
-                new.append(x)
+        of = self.of
+        new = list(dict.fromkeys(x for x in parts if x not in of))
+        of.update(zip(new, range(self.n, self.n + len(new))))
         self._learn(new)
         return np.fromiter(map(of.__getitem__, parts), np.int64, len(parts))
 
