@@ -34,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-DIGEST = re.compile(r"(?:(?:md5|sha\d+)[-_=]?)?([0-9a-fA-F]+)")
+DIGEST = re.compile(r"(?:(?:md5|sha\d+)[-_=]?)?([0-9a-f]+)", re.I)
 PART = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,4}")
 
 
