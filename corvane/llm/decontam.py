@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, textkernel
+from . import scratch, textkernel, tokens
 
 THRESHOLD = 0.8
 #: Characters of benchmark text in one broadcast.
@@ -87,6 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         shared = spark.sparkContext.broadcast((index(rows.column("text").to_pylist(), threshold), rows.column("item_id").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             made, names = shared.value
             for batch in batches:
                 for a, _, h, counts in textkernel.batches(batch.column(1)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, scratch, textkernel
+from . import graph, scratch, textkernel, tokens
 
 THRESHOLD = 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.9999
@@ -62,6 +62,7 @@ def signatures(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """doc_id, key (of the text) and trees: the prefix hash of each tree, null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             texts = batch.column(1)
             buf, off = textkernel.raw(texts)
@@ -126,6 +127,7 @@ def _verify(threshold: float):
         return ids[some].tolist(), links[some].tolist(), hub[some].tolist(), [rows[0][7] == 1] * len(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: list[tuple] = []
         out: tuple[list, list, list, list] = ([], [], [], [])
 

@@ -154,8 +154,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens.pieces(tokenizer, False)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 1500):
+                part = batch.slice(at, 1500)
                 ids, counts = model.encode(part.column(1))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")

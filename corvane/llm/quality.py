@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, textkernel
+from . import scratch, textkernel, tokens
 
 MAX_TRAIN = 8000
 BITS = 15
@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_train:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             buf, off = textkernel.raw(batch.column(2))
             for a, b in textkernel.steps(off):
@@ -138,6 +139,7 @@ def score(docs: DataFrame, model: dict, least: int = LEAST_GRADE, keep_at: float
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         m = shared.value
         for batch in batches:
             buf, off = textkernel.raw(batch.column(batch.num_columns - 1))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tokens
 
 LEAST, RATIO = 20, 2.2
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -92,6 +92,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO) ->
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -124,6 +125,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     scratch.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             names, columns = batch.schema.names, list(batch.columns)
             before = columns[names.index("text")].to_pylist()

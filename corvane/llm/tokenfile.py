@@ -71,8 +71,8 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
         model, pack, edges = tokens.pieces(tokenizer, True), zstandard.ZstdCompressor(1), np.array(cuts, np.int64)
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 1500):
+                part = batch.slice(at, 1500)
                 ids, counts = model.encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from . import textkernel
 
-#: Pieces whose ids a worker keeps; then it starts anew.
-KEPT = 1_300_000
+#: Pieces whose ids a worker keeps; beyond that only those of the last batch stay.
+KEPT = 1_000_000
 _ODD = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes that any of these may hold.
 _RARE = np.zeros(256, bool)
@@ -50,33 +50,36 @@ class Pieces:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
+        self.recent = np.zeros(0, np.int64)
         self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
 
+    def _shrink(self) -> None:
+        """Keeps the pieces of the last batch, among which are all frequent ones."""
+        names, some = list(self.of), self.recent
+        lens = self.starts[some + 1] - self.starts[some]
+        ends = np.cumsum(lens)
+        kept = self.flat[np.repeat(self.starts[some] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.clear()
+        self.flat = np.concatenate([kept, np.zeros(1 << 16, np.uint32)])
+        self.starts = np.concatenate([[0], ends, np.zeros(1 << 14, np.int64)])
+        self.used, self.n = len(kept), len(some)
+        self.of = {names[c]: k for k, c in enumerate(some.tolist())}
+
     def _ids(self, new: list[str]) -> list[list[int]]:
-        """Ids of pieces: letters with marks behind them are at most two pre-tokens, which go to the library's BPE model at
-        once; any other piece goes through its whole chain."""
+        """Ids of pieces: plain letters are one pre-token, as are marks, and go to the library's BPE model at once; any other
+        piece goes through its whole chain."""
         out: list[list[int]] = [_NONE] * len(new)
-        rest, known, tokenize, keeps, of, n = [], self.known, self.model.model.tokenize, self.keeps_space, self.of, self.n
-        flat, starts = self.flat, self.starts
+        rest, tokenize, keeps = [], self.model.model.tokenize, self.keeps_space
         for k, x in enumerate(new):
-            stem = x.rstrip(_MARKS)
-            body = stem[1:] if keeps and stem[:1] == " " else stem
+            body = x[1:] if keeps and x[:1] == " " else x
             if body.isalpha() and (body.isascii() or _LATIN.fullmatch(body)):
-                if stem is not x and (at := of.get(stem, n)) < n:  # the same letters were seen with other marks
-                    ids = flat[starts[at] : starts[at + 1]].tolist()
-                else:
-                    head = body if keeps else body.lower()
-                    if not head.isascii():
-                        head = head.encode().decode("latin-1").translate(_SHOWN)
-                    ids = [t.id for t in tokenize(_SPACE + head if body is not stem else head)]
-                if stem is not x and len(stem) < len(x):
-                    marks = x[len(stem) :]
-                    if marks not in known:
-                        known[marks] = [t.id for t in tokenize(marks)]
-                    ids = ids + known[marks]
-                out[k] = ids
-            else:
+                head = body if keeps else body.lower()
+                if not head.isascii():
+                    head = head.encode().decode("latin-1").translate(_SHOWN)
+                out[k] = [t.id for t in tokenize(head if body is x else _SPACE + head)]
+            elif x and not x.strip(_MARKS):
+                out[k] = [t.id for t in tokenize(x)]
+            elif x:
                 rest.append(k)
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
@@ -107,7 +110,7 @@ class Pieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.of) > self.kept:
-            self.clear()
+            self._shrink()
         texts = pc.fill_null(texts, "")
         # Lines of BPE with spaces stand apart: their first part has no space, and a lone line end is a token of its own.
         lines = pc.split_pattern(texts, "\n")
@@ -120,14 +123,25 @@ class Pieces:
             for found in tests:
                 odd |= found.to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(lines.flatten(), " ")
-        # Each distinct part is looked up once; the hash table over all parts is Arrow's.
+        # Each distinct part is looked up once; the hash table over all parts is Arrow's. Marks behind a letter or digit are
+        # a pre-token of their own, so a part is two pieces: what stands before them, and them or nothing.
         flat, places = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         places = places - places[0]
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        at = self._codes([" " + x for x in distinct] if self.keeps_space else distinct)[coded.indices.to_numpy()]
+        heads, tails = [], []
+        for part, stem in zip(coded.dictionary.to_pylist(), pc.utf8_rtrim(coded.dictionary, _MARKS).to_pylist()):
+            split = 0 < len(stem) < len(part) and stem[-1].isalnum()
+            heads.append(stem if split else part)
+            tails.append(part[len(stem) :] if split else "")
+        index = coded.indices.to_numpy()
+        at = np.empty((len(index), 2), np.int64)
+        at[:, 0] = self._codes([" " + x for x in heads] if self.keeps_space else heads)[index]
+        at[:, 1] = self._codes(tails)[index]
+        if self.keeps_space and len(texts):
+            first = places[:-1]
+            at[first, 0] = self._codes([heads[i] for i in index[first]])
+        at, places = at.ravel(), 2 * places
         if self.keeps_space and len(texts):
-            at[places[:-1]] = self._codes(flat.take(pa.array(places[:-1])).to_pylist())
             # A line end behind every line that is not the last of its text.
             inner = np.ones(len(places) - 1, bool)
             inner[np.cumsum(counts) - 1] = False
@@ -141,6 +155,7 @@ class Pieces:
                 parts = _LONE.split(texts[int(i)].as_py())
                 own[i] = self._codes([parts[0], *[" " + x for x in parts[1:]]])
             at, counts = np.concatenate(own), np.array([len(x) for x in own])
+        self.recent = np.unique(at)
         lens = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -151,3 +166,8 @@ class Pieces:
 @lru_cache(maxsize=2)
 def pieces(name: str, keeps_space: bool) -> Pieces:
     return Pieces(name, keeps_space)
+
+
+def forget() -> None:
+    """Drops what a worker keeps for encoding; operators that do not encode call it, so that memory is theirs."""
+    pieces.cache_clear()

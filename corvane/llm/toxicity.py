@@ -5,8 +5,8 @@ byte n-grams of three to five, each hashed to a row of an embedding table. A tex
 of a word's rows. A two-class linear softmax sits on that mean. Embeddings and softmax are trained jointly by
 minibatches (Adagrad), so a misspelling that was never seen shares most of its rows with the word it is made from.
 
-The model is fitted on a bounded sample of labelled rows: at most MAX_TRAIN of each class, in the order of a hash of
-doc_id; the classes' true shares, counted over all labels, correct the bias. Rows whose crc32(doc_id) mod 5 is 0 are
+The model is fitted on a bounded sample of labelled rows: at most MAX_TRAIN of the two classes, in the order of a hash
+of doc_id; the classes' true shares, counted over all labels, correct the bias. Rows whose crc32(doc_id) mod 5 is 0 are
 never seen in training. Only the text enters a score.
 
 Null text counts as empty and, like any text without words, gets the score of the bias. Labels that are null are
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, textkernel
+from . import scratch, textkernel, tokens
 
-MAX_TRAIN = 2500
-BITS, WIDTH, SCALE = 16, 6, 40.0
+#: Labelled rows of class 0 and of class 1 that the fit may see.
+MAX_TRAIN = (4500, 2500)
+BITS, WIDTH, SCALE = 18, 6, 40.0
 GRAMS = (3, 4, 5)
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -64,7 +65,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (out >> np.uint64(64 - BITS)).astype(np.int64), weight, per_text
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: int = 14, rate: float = 0.25, size: int = 50) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: int = 10, rate: float = 0.12, size: int = 50) -> tuple[np.ndarray, float]:
     """What each row of the table adds to the log odds of class 1, and the bias; rows: table rows, weights, class."""
     y = np.array([r[2] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
@@ -78,7 +79,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: in
         for at in range(0, len(order), size):
             some = order[at : at + size]
             n = np.array([len(rows[i][0]) for i in some])
-            ids, w = np.concatenate([rows[i][0] for i in some]), np.concatenate([rows[i][1] for i in some]) * SCALE
+            ids, w = np.concatenate([rows[i][0] for i in some]).astype(np.int64), np.concatenate([rows[i][1] for i in some]) * SCALE
             owner = np.repeat(np.arange(len(some)), n)
             used, which = np.unique(ids, return_inverse=True)
             mine = table[used]
@@ -105,15 +106,16 @@ def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return textkernel.raw(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN) -> tuple[np.ndarray, float]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    # At most max_train ids a class: a bounded side, so it may be broadcast.
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for y in (0, 1)]
+    # At most max_train ids of a class: a bounded side, so it may be broadcast.
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train[y]) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -121,14 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
                 got: tuple[list, list] = ([], [])
                 for x, w in zip(np.split(ids, np.cumsum(counts)[:-1]), np.split(weight, np.cumsum(counts)[:-1])):
                     u, inverse = np.unique(x, return_inverse=True)
-                    got[0].append(u.astype(np.int32))
-                    got[1].append(np.bincount(inverse, w, len(u)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got[0], pa.list_(pa.int32())), pa.array(got[1], pa.list_(pa.float32()))], names=["doc_id", "y", "ids", "weights"])
+                    got[0].append(u.astype(np.uint32).tobytes())
+                    got[1].append(np.bincount(inverse, w, len(u)).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], names=["doc_id", "y", "ids", "weights"])
 
-    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids array<int>, weights array<float>").toArrow()
+    rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, weights binary").toArrow()
     order = sorted(zip(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), range(rows.num_rows)))
-    ids, weights = (rows[c].combine_chunks() if rows.num_rows else [] for c in ("ids", "weights"))
-    return fit([(ids[i].values.to_numpy(), weights[i].values.to_numpy(), y) for _, y, i in order], share)
+    ids, weights = rows["ids"], rows["weights"]
+    return fit([(np.frombuffer(ids[i].as_buffer(), np.uint32), np.frombuffer(weights[i].as_buffer(), np.float32), y) for _, y, i in order], share)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -138,6 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         table, bias = shared.value
         for batch in batches:
             buf, off = _lowered(batch.column(2))
