@@ -124,7 +124,7 @@ class Parser:
             return made()
         if word in ("BEGIN", "START", "COMMIT", "END", "ROLLBACK", "ABORT", "SET", "SAVEPOINT", "RELEASE"):
             return self.transaction()
-        raise SqlSyntaxError(f"Unsupported: {self.tokens[self.at].text}")
+        raise SqlSyntaxError(f"Unsupported: {self.next('a statement').text}")
 
     def transaction(self) -> a.Transaction:
         word = self.next().key
@@ -383,4 +383,7 @@ class Parser:
 
 
 def parse(sql: str) -> a.Statement:
-    return Parser(sql).parse()
+    try:
+        return Parser(sql).parse()
+    except RecursionError:
+        raise SqlSyntaxError("the statement is nested too deeply") from None

@@ -82,3 +82,5 @@ def test_fuzz_never_crashes():
             parse(text)
         except SqlSyntaxError:
             pass
+    with pytest.raises(SqlSyntaxError, match="too deeply"):
+        parse("SELECT a FROM t WHERE " + "(" * 100_000)
