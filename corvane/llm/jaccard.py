@@ -165,10 +165,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     texts = scratch.keep(texts, "texts")
     met = texts.select("id", F.explode("trees").alias("prefix"))
     groups = met.groupBy("prefix").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "least")
+    # Written, so that the join is one of two scans, whose hot keys adaptive execution can split.
+    groups = scratch.keep(groups, "groups")
     ties = met.join(groups, "prefix").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     near = graph.components(ties)
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    near = scratch.keep(near, "near")
     sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    sizes = scratch.keep(sizes, "sizes")
     placed = near.join(sizes, "root").select(F.col("node").alias("id"), "root", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("k"))
     placed = scratch.keep(placed.join(texts.select("id", "copies"), "id"), "placed")
     # A text goes to the pair of its block with each block of its component.
