@@ -240,3 +240,32 @@ def test_streaming(s, tmp_path):
         q = key_value_stream(parquet_stream(s.spark, str(tmp_path / "in"), schema), s.kv(), "id", "v", str(tmp_path / "state"))
         q.awaitTermination()
     assert s.kv().scan_all() == [("0", "v0"), ("1", "v1"), ("2", "v2")]
+
+
+def test_embedded_facade(spark, tmp_path):
+    from corvane import Embedded
+
+    db = Embedded.open_dir(spark, str(tmp_path / "e"))
+    a, b = db.scoped("tenant_a"), db.scoped("tenant_b")
+    a.put("k", "1")
+    b.put("k", "2")
+    with a.snapshot() as then:
+        a.put("k", "3")
+        assert a.get_at("k", then) == "1" and a.get("k") == "3" and b.scan_prefix("k") == [("k", "2")] and db.scan_all() == []
+    db.execute_sql("CREATE TABLE metrics (id INT PRIMARY KEY, name TEXT)")
+    db.execute_sql("INSERT INTO metrics VALUES (1, 'cpu')")
+    db.sync()
+    db.close()
+    again = Embedded.open_dir(spark, str(tmp_path / "e"))
+    assert again.execute_sql("SELECT name FROM metrics WHERE id = 1").rendered() == [["cpu"]] and again.stats()["tables"] == 1
+    with pytest.raises(RuntimeError):
+        db.get("k")
+
+
+def test_corrupt_data_fails_loudly(s):
+    s.sql("CREATE TABLE t (id INT, v TEXT)")
+    s.sql("INSERT INTO t VALUES (1, 'a')")
+    segment = s.store.manifest().tables["t"]["segments"][0]["path"]
+    s.store.files.delete(segment)
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        s.sql("SELECT * FROM t LIMIT 0").collect()
