@@ -50,12 +50,12 @@ class Pieces:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.recent = np.zeros(0, np.int64)
+        self.recent = np.zeros(0, np.int32)
         self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
 
     def _shrink(self) -> None:
         """Keeps the pieces of the last batch, among which are all frequent ones."""
-        names, some = list(self.of), self.recent
+        names, some = list(self.of), np.unique(self.recent)
         lens = self.starts[some + 1] - self.starts[some]
         ends = np.cumsum(lens)
         kept = self.flat[np.repeat(self.starts[some] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -106,7 +106,7 @@ class Pieces:
         new = list(dict.fromkeys(x for x in parts if x not in of))
         of.update(zip(new, range(self.n, self.n + len(new))))
         self._learn(new)
-        return np.fromiter(map(of.__getitem__, parts), np.int64, len(parts))
+        return np.fromiter(map(of.__getitem__, parts), np.int32, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.of) > self.kept:
@@ -128,13 +128,16 @@ class Pieces:
         flat, places = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         places = places - places[0]
         coded = flat.dictionary_encode()
-        heads, tails = [], []
-        for part, stem in zip(coded.dictionary.to_pylist(), pc.utf8_rtrim(coded.dictionary, _MARKS).to_pylist()):
-            split = 0 < len(stem) < len(part) and stem[-1].isalnum()
-            heads.append(stem if split else part)
-            tails.append(part[len(stem) :] if split else "")
+        heads = coded.dictionary.to_pylist()
+        tails = [""] * len(heads)
+        # Only parts that end in a mark are cut.
+        stems = pc.utf8_rtrim(coded.dictionary, _MARKS)
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(coded.dictionary)).to_numpy(zero_copy_only=False))
+        for i, stem in zip(marked.tolist(), stems.take(pa.array(marked)).to_pylist()):
+            if stem and stem[-1].isalnum():
+                heads[i], tails[i] = stem, heads[i][len(stem) :]
         index = coded.indices.to_numpy()
-        at = np.empty((len(index), 2), np.int64)
+        at = np.empty((len(index), 2), np.int32)
         at[:, 0] = self._codes([" " + x for x in heads] if self.keeps_space else heads)[index]
         at[:, 1] = self._codes(tails)[index]
         if self.keeps_space and len(texts):
@@ -155,10 +158,14 @@ class Pieces:
                 parts = _LONE.split(texts[int(i)].as_py())
                 own[i] = self._codes([parts[0], *[" " + x for x in parts[1:]]])
             at, counts = np.concatenate(own), np.array([len(x) for x in own])
-        self.recent = np.unique(at)
-        lens = self.starts[at + 1] - self.starts[at]
+        self.recent = at
+        begin = self.starts[at]
+        lens = self.starts[at + 1] - begin
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # A batch and what is kept have far fewer than 2^31 ids.
+        where = np.repeat((begin - ends + lens).astype(np.int32), lens)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = self.flat[where]
         before = np.concatenate([[0], ends])
         return ids, np.diff(before[np.concatenate([[0], np.cumsum(counts)])])
 
