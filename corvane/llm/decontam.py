@@ -108,3 +108,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """The rows of docs that contain no item; all columns as they were. Rows with a null doc_id are kept."""
     spoiled = scratch.keep(matches(docs.where("doc_id is not null"), benchmark, threshold).select("doc_id").distinct(), "spoiled")
     return docs.join(spoiled, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
+SQL = f"""
+WITH {textkernel.shingle_sql("documents", "doc_id", "d")}, {textkernel.shingle_sql("benchmark", "item_id", "b")},
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_common FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_common, n_item, CAST(n_common AS DOUBLE) / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_common >= {THRESHOLD} * n_item - 1e-9
+"""

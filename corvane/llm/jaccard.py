@@ -199,3 +199,17 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     named = docs.select(*[f"`{c}`" for c in docs.columns])
     some = named.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(named.where("doc_id is null"))
+
+
+SQL = f"""
+WITH RECURSIVE {textkernel.shingle_sql("documents", "doc_id", "s")},
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c >= {THRESHOLD} * (p.n + q.n - c) - 1e-9
+    UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON coalesce(x.text, '') = coalesce(y.text, '') AND x.doc_id <> y.doc_id),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+root AS (SELECT a, min(b) AS least FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+copies AS (SELECT coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY coalesce(text, ''))
+SELECT doc_id, least(doc_id, coalesce(root.least, doc_id)) AS class_id, coalesce(links.n, 0) AS n_links, copies.n AS n_copies
+FROM documents LEFT JOIN root ON root.a = doc_id LEFT JOIN links ON links.a = doc_id JOIN copies ON copies.t = coalesce(text, '')
+"""

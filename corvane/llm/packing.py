@@ -26,6 +26,8 @@ from . import scratch, tokens
 
 CAPACITY = 2048
 QUANTUM = 8
+#: Pieces of text whose ids a worker keeps.
+KEPT = 500_000
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -152,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokens.pieces(tokenizer, False)
+        model = tokens.pieces(tokenizer, False, KEPT)
         for batch in batches:
             for at in range(0, batch.num_rows, 1500):
                 part = batch.slice(at, 1500)

@@ -71,5 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10,
 }
 
-#: Only canonical JSON of plain messages has a SQL form.
-SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL}
+#: Tokenizers, trained models, fingerprints and page trees have no SQL form.
+SQL: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.SQL, "op4_chat_formatting": chat.SQL, "op7_decontamination": decontam.SQL}

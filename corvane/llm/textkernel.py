@@ -155,3 +155,11 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
     for _, _, h, counts in batches(texts):
         out += [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
     return out
+
+
+def shingle_sql(table: str, key: str, name: str) -> str:
+    """Two common table expressions in SQL for another engine: the distinct shingles (key, g) of a table's texts."""
+    return f"""
+    {name}_words AS (SELECT {key}, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM {table}),
+    {name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM {name}_words)"""

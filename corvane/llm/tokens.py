@@ -171,8 +171,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(name: str, keeps_space: bool) -> Pieces:
-    return Pieces(name, keeps_space)
+def pieces(name: str, keeps_space: bool, kept: int = KEPT) -> Pieces:
+    return Pieces(name, keeps_space, kept)
 
 
 def forget() -> None:
