@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from . import ast as a
 from .binder import Bound, Scope
 
 
+#: Names of columns made on the way differ between all statements of a process.
+_FRESH = count(1)
+
+
 @dataclass
 class Table:
     """A table at one version: its name, columns with types, primary key, and rows."""
@@ -31,7 +36,7 @@ Resolver = Callable[[str], Table]
 
 class Lowering:
     def __init__(self, resolve: Resolver):
-        self.resolve, self.fresh = resolve, 0
+        self.resolve = resolve
 
     def query(self, q: a.Query) -> DataFrame:
         """Rows with the dialect's column names (names may repeat)."""
@@ -55,27 +60,26 @@ class Lowering:
         return df.where(condition)
 
     def in_select(self, df: DataFrame, p: a.InSelect, look, negated: bool) -> DataFrame:
-        view, inner = self.subquery(p)
-        self.fresh += 1
-        outer = f"_outer{self.fresh}"
-        df.createOrReplaceTempView(outer)
-        spark, column = df.sparkSession, f"_in{self.fresh}"
-        marked = df.withColumn(column, look(p.left)[0])
-        marked.createOrReplaceTempView(outer)
-        word = "NOT IN" if negated else "IN"
-        try:
-            return spark.sql(f"SELECT * FROM {outer} WHERE {column} {word} (SELECT v FROM {view})").drop(column)
-        finally:
-            spark.catalog.dropTempView(outer)
-            spark.catalog.dropTempView(view)
-
-    def subquery(self, p: a.InSelect) -> tuple[str, DataFrame]:
+        """A semi join, or for NOT IN an anti join after two facts about the subquery: whether it has rows, and a NULL.
+
+        Spark's own null-aware anti join would broadcast the subquery whatever its size.
+        """
+        inner, value = self.subquery(p)
+        column = look(p.left)[0]
+        if not negated:
+            return df.join(inner, column == F.col(value), "left_semi")
+        facts = inner.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("some")).first()
+        if facts["n"] == 0:
+            return df
+        if facts["some"] < facts["n"]:
+            return df.where(F.lit(False))
+        return df.where(column.isNotNull()).join(inner, column == F.col(value), "left_anti")
+
+    def subquery(self, p: a.InSelect) -> tuple[DataFrame, str]:
+        """The first column of the inner query, under a name of its own."""
         inner = self.query(p.select)
-        inner = inner.toDF(*[f"v{i}" if i else "v" for i in range(len(inner.columns))]).select("v")
-        self.fresh += 1
-        view = f"_sub{self.fresh}"
-        inner.createOrReplaceTempView(view)
-        return view, inner
+        value = f"_v{next(_FRESH)}"
+        return inner.toDF(*[f"{value}{'_' * i}" for i in range(len(inner.columns))]).select(value), value
 
     def condition(self, df: DataFrame, p: a.Predicate, look) -> tuple[DataFrame, Column]:
         """A predicate as a column. IN (SELECT) under OR or NOT joins the distinct values and keeps three-valued logic."""
@@ -87,17 +91,14 @@ class Lowering:
             df, inner = self.condition(df, p.inner, look)
             return df, ~inner
         if isinstance(p, a.InSelect):
-            view, inner = self.subquery(p)
-            df.sparkSession.catalog.dropTempView(view)
-            self.fresh += 1
-            hit, nulls, value = (f"_{x}{self.fresh}" for x in ("hit", "nulls", "value"))
-            column = look(p.left)[0]
-            values = inner.where("v is not null").distinct().select(F.col("v").alias(value), F.lit(True).alias(hit))
-            facts = inner.agg(F.coalesce(F.max(F.col("v").isNull()), F.lit(False)).alias(nulls), F.count(F.lit(1)).alias(nulls + "n")).first()
+            inner, value = self.subquery(p)
+            hit, column = f"{value}_hit", look(p.left)[0]
+            values = inner.where(F.col(value).isNotNull()).distinct().withColumn(hit, F.lit(True))
+            facts = inner.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("some")).first()
             df = df.join(values, column == F.col(value), "left").drop(value)
-            if facts[nulls + "n"] == 0:
+            if facts["n"] == 0:
                 return df, F.lit(False)
-            missed = C.unknown() if facts[nulls] else F.lit(False)
+            missed = C.unknown() if facts["some"] < facts["n"] else F.lit(False)
             return df, F.when(column.isNull(), C.unknown()).otherwise(F.when(F.col(hit), F.lit(True)).otherwise(missed))
         column, kind = look(p.left)
         if isinstance(p, a.IsNull):
