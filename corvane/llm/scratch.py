@@ -31,10 +31,10 @@ def path(spark: SparkSession, name: str) -> str:
     return out
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written once as Parquet in the shared folder and read back, which cuts its lineage there."""
     spark, at = df.sparkSession, path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

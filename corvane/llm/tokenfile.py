@@ -28,23 +28,23 @@ from . import scratch, tokens
 
 #: Ids after which a block ends (with the document that reaches it).
 BLOCK = 1 << 18
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
-_TOTAL = _LENGTHS.sum(axis=1)
-_PLACES = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
-#: By length: which of four bytes count.
-_MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1).astype(np.int32)
+_TOTAL = _LENGTHS.sum(axis=1, dtype=np.int32)
+_PLACES = (np.cumsum(_LENGTHS, axis=1) - _LENGTHS).astype(np.int32)
+_LONGEST = _LENGTHS.max(axis=1)
 
 
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    n = len(values)
-    length = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int8) + (values > 0xFFFFFF)
+    n, width = len(values), max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    taken = np.ones((n, width), bool)
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = length - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
-    return control.tobytes(), data.tobytes()
+    for k in range(1, width):
+        taken[:, k] = values >= 1 << 8 * k
+        codes[:n] += taken[:, k]
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :width][taken].tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -52,10 +52,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     c = np.frombuffer(control, np.uint8)
     # Values absent at the end have a length of one byte in the table, so the data are padded.
     d = np.frombuffer(data + b"\0" * 8, np.uint8)
-    at = (np.cumsum(_TOTAL[c]) - _TOTAL[c])[:, None] + _PLACES[c]
-    at, length = at.ravel()[:n], _LENGTHS[c].ravel()[:n]
+    total = _TOTAL[c]
+    at = ((np.cumsum(total, dtype=np.int32) - total)[:, None] + _PLACES[c]).ravel()[:n]
     out = d[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    longest = int(_LONGEST[c].max(initial=1))
+    length = _LENGTHS[c].ravel()[:n] if longest > 1 else None
+    for k in range(1, longest):
         more = np.flatnonzero(length > k)
         out[more] |= d[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -128,7 +130,7 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start)], names=[*b.schema.names, "start"])
 
     raw = _tokenised(docs, tokenizer, end_id, cuts).repartitionById(len(cuts) + 1, F.col("_pid")).sortWithinPartitions("_pid", "doc_id")
-    stage = scratch.keep(raw.mapInArrow(number, "_pid int, doc_id long, n_tokens long, ids binary, start long"), "stage")
+    stage = scratch.keep(raw.mapInArrow(number, "_pid int, doc_id long, n_tokens long, ids binary, start long"), "stage", "uncompressed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -170,7 +172,7 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
             yield block()
 
     kind = "part int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    stage.where("n_tokens > 0").mapInArrow(blocks, kind).write.option("compression", "zstd").parquet(f"{at}/blocks")
+    stage.where("n_tokens > 0").mapInArrow(blocks, kind).write.option("compression", "snappy").parquet(f"{at}/blocks")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{at}/ranks")
 
 
