@@ -183,7 +183,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 def assign(cut: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) -> DataFrame:
     """cut with sequence_id and offset. cut must be a written table: it is read more than once."""
     spark, classes = cut.sparkSession, capacity // quantum
-    chunks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Hashed chunks keep a frequent length class from being one task; their number bounds what the driver adds up.
+    chunks = min(2048, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     size = F.ceil(F.col("length") / quantum).cast("int")
     ranked = cut.withColumn("_size", size).withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)).cast("int"))
     # At most classes x chunks counts, both parameters; the driver adds them up.
