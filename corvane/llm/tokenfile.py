@@ -81,7 +81,10 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
                 more = np.bincount(ids, minlength=len(seen))
                 more[: len(seen)] += seen
                 seen = more
-                packed = [pack.compress(_planes(x)) for x in np.split(ids, ends[:-1])]
+                wide = 4 if ids.max(initial=0) > 0xFFFF else 2
+                planes = [(ids >> np.uint32(8 * k)).astype(np.uint8) for k in range(wide)]
+                head = bytes([wide])
+                packed = [pack.compress(head + b"".join(p[x:y].tobytes() for p in planes)) for x, y in zip((ends - counts - 1).tolist(), ends.tolist())]
                 key = part.column(0)
                 pid = np.searchsorted(edges, key.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pid), key, pa.array(counts + 1), pa.array(packed, pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
@@ -91,13 +94,8 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "_pid int, doc_id long, n_tokens long, ids binary")
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """The bytes of ids, plane by plane, which compress better; two planes if ids fit."""
-    wide = 4 if len(ids) and ids.max() > 0xFFFF else 2
-    return bytes([wide]) + ids.view(np.uint8).reshape(-1, 4)[:, :wide].T.tobytes()
-
-
 def _ids(packed: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    """Ids of a document: their bytes stand plane by plane, which compresses better; the first byte counts the planes."""
     data = unpack.decompress(packed)
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
     out = np.zeros((planes.shape[1], 4), np.uint8)

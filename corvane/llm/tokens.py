@@ -116,12 +116,8 @@ class Pieces:
         lines = pc.split_pattern(texts, "\n")
         counts = np.diff(lines.offsets.to_numpy().astype(np.int64))
         odd = np.zeros(len(texts), bool)
-        if self.keeps_space:
-            tests = [pc.match_substring(texts, x) for x in ("  ", "\n ", " \n", "\n\n")] + [f(texts, x) for f in (pc.starts_with, pc.ends_with) for x in (" ", "\n")]
-            if _RARE[textkernel.raw(texts)[0]].any():
-                tests.append(pc.match_substring_regex(texts, _ODD))
-            for found in tests:
-                odd |= found.to_numpy(zero_copy_only=False)
+        if self.keeps_space and _RARE[textkernel.raw(texts)[0]].any():
+            odd |= pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(lines.flatten(), " ")
         # Each distinct part is looked up once; the hash table over all parts is Arrow's. Marks behind a letter or digit are
         # a pre-token of their own, so a part is two pieces: what stands before them, and them or nothing.
@@ -142,7 +138,11 @@ class Pieces:
         at[:, 1] = self._codes(tails)[index]
         if self.keeps_space and len(texts):
             first = places[:-1]
-            at[first, 0] = self._codes([heads[i] for i in index[first]])
+            which, back = np.unique(index[first], return_inverse=True)
+            at[first, 0] = self._codes([heads[i] for i in which])[back]
+            # An empty part is white space beside white space or at an end: such texts are cut by the pattern below.
+            empty = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))
+            odd[np.searchsorted(places[np.cumsum(counts)], empty, "right")] = True
         at, places = at.ravel(), 2 * places
         if self.keeps_space and len(texts):
             # A line end behind every line that is not the last of its text.
