@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from . import textkernel
 
 #: Pieces whose ids a worker keeps; beyond that only those of the last batch stay.
-KEPT = 1_000_000
+KEPT = 850_000
 _ODD = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes that any of these may hold.
 _RARE = np.zeros(256, bool)
@@ -64,6 +64,7 @@ class Pieces:
         self.starts = np.concatenate([[0], ends, np.zeros(1 << 14, np.int64)])
         self.used, self.n = len(kept), len(some)
         self.of = {names[c]: k for k, c in enumerate(some.tolist())}
+        pa.default_memory_pool().release_unused()
 
     def _ids(self, new: list[str]) -> list[list[int]]:
         """Ids of pieces: plain letters are one pre-token, as are marks, and go to the library's BPE model at once; any other
