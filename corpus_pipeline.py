@@ -22,8 +22,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+    """Documents that contain a benchmark item go, whatever its letter case and marks."""
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"), folded=True)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ is verified by the exact share of the item's shingles in the document's set.
 Items are handled in blocks of a bounded number of characters, so what is broadcast never grows with the benchmark.
 Words and shingles: see textkernel. Null texts count as empty; an item without words is in no document. An item of
 fewer than five words matches only a document of just these words. Rows repeated in either table are kept as rows.
+
+With folded, texts are also compared without letter case and without marks at the ends of words (textkernel.folded), and
+items of fewer than five words are found as runs of their own length anywhere in a document. This adds matches and takes
+none away; counts of a pair are of the words as they stand if these alone make it a match. The SQL knows plain words
+only, so op7_decontamination, which it defines, is not folded; op7_decontamination_folded and the pipeline are.
 """
 
 from __future__ import annotations
@@ -43,26 +48,38 @@ def index(texts: list[str | None], threshold: float = THRESHOLD) -> dict:
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(h, kind="stable")
-    return {"hashes": h[order], "owners": o[order], "sets": np.concatenate(sets) if sets else h, "starts": np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)}
-
-
-def search(made: dict, h: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
-    """Text, item, common shingles, item's shingles: of pairs at or above the threshold."""
-    keys = made["hashes"]
+    short = {}
+    n = textkernel.words(*textkernel.raw(pa.array(texts, pa.string())))[2]
+    for size in range(1, textkernel.SHINGLE):
+        own = np.flatnonzero(n == size)
+        if len(own):
+            run = np.array([sets[k][0] for k in own])
+            by = np.argsort(run, kind="stable")
+            short[size] = (run[by], own[by])
+    return {"hashes": h[order], "owners": o[order], "short": short, "sets": np.concatenate(sets) if sets else h, "starts": np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)}
+
+
+def _met(keys: np.ndarray, owners: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rows (text, item), sorted and distinct, of the texts that have one of the sorted keys."""
+    none = np.zeros((0, 2), np.int64)
     if not len(keys) or not len(h):
-        return
+        return none
     first = np.searchsorted(keys, h)
     hit = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == h)
     if not len(hit):
-        return
+        return none
     doc = np.repeat(np.arange(len(counts)), counts)[hit]
     n = np.searchsorted(keys, h[hit], "right") - first[hit]
-    item = made["owners"][np.repeat(first[hit], n) + textkernel.spread(n)]
-    pairs = np.unique(np.repeat(doc, n) * np.int64(len(made["starts"])) + item)
+    item = owners[np.repeat(first[hit], n) + textkernel.spread(n)]
+    width = np.int64(owners.max() + 1)
+    return np.stack(np.divmod(np.unique(np.repeat(doc, n) * width + item), width), axis=1)
+
+
+def search(made: dict, h: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item, common shingles, item's shingles: of pairs at or above the threshold."""
     ends = np.cumsum(counts)
     at, own = -1, h
-    for p in pairs:
-        d, k = divmod(int(p), len(made["starts"]))
+    for d, k in _met(made["hashes"], made["owners"], h, counts).tolist():
         if d != at:
             at, own = d, np.unique(h[ends[d] - counts[d] : ends[d]])
         wanted = made["sets"][made["starts"][k] : made["starts"][k + 1]]
@@ -72,7 +89,33 @@ def search(made: dict, h: np.ndarray, counts: np.ndarray, threshold: float) -> I
             yield d, k, common, len(wanted)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def runs(made: dict, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """As search(): of the items of fewer than five words that stand somewhere in a text."""
+    for size, (keys, owners) in made["short"].items():
+        for d, k in _met(keys, owners, *textkernel.shingles(buf, off, size)).tolist():
+            yield d, k, 1, 1
+
+
+def found(made: list[dict], texts: pa.Array, threshold: float) -> Iterator[dict[tuple[int, int], tuple[int, int]]]:
+    """(text, item): (common shingles, item's shingles), a step of texts at a time. made: one index of the items as they are, and for folded one of the folded items."""
+    for a, b, h, counts in textkernel.batches(texts):
+        out = {(d + a, k): (c, n) for d, k, c, n in search(made[0], h, counts, threshold)}
+        if len(made) > 1:
+            own = texts.slice(a, b - a)
+            for m, t in zip(made, (own, textkernel.folded(own))):
+                buf, off = textkernel.raw(t)
+                more = [*search(m, *textkernel.shingles(buf, off), threshold)] if m is not made[0] else []
+                for d, k, c, n in more + [*runs(m, buf, off)]:
+                    out.setdefault((d + a, k), (c, n))
+        yield out
+
+
+def indexes(texts: list[str | None], threshold: float, folded: bool) -> list[dict]:
+    both = [texts, textkernel.folded(pa.array(texts, pa.string())).to_pylist()]
+    return [index(t, threshold) for t in both[: 1 + folded]]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, folded: bool = False) -> DataFrame:
     """doc_id, item_id, n_common, n_item, containment: of each document and item at or above the threshold."""
     spark = docs.sparkSession
     scratch.ship(spark)
@@ -84,18 +127,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
-        shared = spark.sparkContext.broadcast((index(rows.column("text").to_pylist(), threshold), rows.column("item_id").to_pylist()))
+        shared = spark.sparkContext.broadcast((indexes(rows.column("text").to_pylist(), threshold, folded), rows.column("item_id").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tokens.forget()
             made, names = shared.value
             for batch in batches:
-                for a, _, h, counts in textkernel.batches(batch.column(1)):
-                    found = list(search(made, h, counts, threshold))
-                    if found:
-                        d, i, c, n = map(np.array, zip(*found))
+                for pairs in found(made, batch.column(1), threshold):
+                    if pairs:
+                        d, i, c, n = map(np.array, zip(*(p + v for p, v in pairs.items())))
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(d + a)), pa.array([names[x] for x in i], pa.int64()), pa.array(c), pa.array(n), pa.array(c / n)],
+                            [batch.column(0).take(pa.array(d)), pa.array([names[x] for x in i], pa.int64()), pa.array(c), pa.array(n), pa.array(c / n)],
                             names=["doc_id", "item_id", "n_common", "n_item", "containment"],
                         )
 
@@ -104,9 +146,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, folded: bool = False) -> DataFrame:
     """The rows of docs that contain no item; all columns as they were. Rows with a null doc_id are kept."""
-    spoiled = scratch.keep(matches(docs.where("doc_id is not null"), benchmark, threshold).select("doc_id").distinct(), "spoiled")
+    spoiled = scratch.keep(matches(docs.where("doc_id is not null"), benchmark, threshold, folded=folded).select("doc_id").distinct(), "spoiled")
     return docs.join(spoiled, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SHINGLE = 5
@@ -24,6 +25,9 @@ _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 # UTF-8 of the white space beyond ASCII.
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+# The same white space as a class of RE2; marks are Unicode punctuation and symbols.
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MARKS = r"[\pP\pS]+"
 #: Bytes that one step looks at; a longer text is one step of its own.
 STEP = 1 << 21
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -64,6 +68,13 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """texts without letter case and without the marks at either end of each word; words of marks alone vanish."""
+    low = pa.array([t and t.casefold() for t in texts.to_pylist()], pa.string())
+    low = pc.replace_substring_regex(low, f"(^|[{_BLANK}]){_MARKS}", r"\1")
+    return pc.replace_substring_regex(low, f"{_MARKS}([{_BLANK}]|$)", r"\1")
+
+
 def steps(off: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about STEP bytes together."""
     n, at = len(off) - 1, 0
@@ -123,19 +134,19 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles in text order, and their number for each text."""
+def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles (of size words, SHINGLE at most) in text order, and their number for each text."""
     starts, ends, n = words(buf, off)
-    counts = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    counts = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     if not len(starts):
         return np.zeros(0, U), counts
     h = np.concatenate([span_hash(prefix(buf), starts, ends), np.zeros(SHINGLE, U)])
     at = np.repeat(np.cumsum(n) - n, counts) + spread(counts)
     out = np.zeros(len(at), U)
     short = np.repeat(n, counts)
-    for j in range(SHINGLE):
+    for j in range(size):
         part = h[at + j]
-        if (n < SHINGLE).any():
+        if (n < size).any():
             part = np.where(j < short, part, U(0))
         out += part * _MULT[j]
     return mix(out), counts

@@ -127,3 +127,14 @@ def test_decontamination_equals_brute_force(spark, texts):
     kept = {x["doc_id"] for x in decontam.clean(docs, bench).collect()}
     assert kept == set(range(len(rows))) - {i for i, _ in expected} and expected
     assert decontam.matches(docs, bench.where("false")).count() == 0 and decontam.clean(docs.where("false"), bench).count() == 0
+
+
+def test_folded_decontamination(spark):
+    item = "The quick brown fox jumps over the lazy dog near the old stone bridge in Weißdorf"
+    rows = [f"before {item.upper()} after", "x " + " ".join(f"«{w}»," for w in item.split()) + " y", f"so — {item}", "it says: Forty Two! again", "forty and two", "a \u3000“FORTY\u00a0two…”", None, "!!"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "forty two"), (2, ""), (3, None), (4, "...")], "item_id long, text string")
+    found = lambda **o: {(x["doc_id"], x["item_id"]) for x in decontam.matches(docs, bench, **o).collect()}
+    assert found() == {(2, 0)}
+    assert found(folded=True) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 1)}
+    assert {x["doc_id"] for x in decontam.clean(docs, bench, folded=True).collect()} == {4, 6, 7}
