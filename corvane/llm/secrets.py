@@ -1,7 +1,7 @@
 """Secrets in texts: assignments, access keys and hexadecimal runs by pattern, other random strings by token efficiency.
 
-Text that a tokenizer's vocabulary was made for takes few tokens; a random string takes many. So every run of at least
-LEAST key characters that no pattern has found is encoded with a tiktoken vocabulary, and a ratio of characters to
+Text that a tokenizer's vocabulary was made for takes few tokens; a random string takes many. What patterns have found
+is cut out of each run of key characters, and every part left of at least LEAST characters is encoded with a tiktoken vocabulary, and a ratio of characters to
 tokens of at most RATIO reports it, unless it is a known digest (hexadecimal of a usual digest length, with or without
 a prefix such as sha256-), a UUID, a number, or an identifier: parts of letters of one case pattern with short numbers.
 
@@ -68,16 +68,44 @@ def known(run: str) -> bool:
     return all(PART.fullmatch(p) and (len(p) < 3 or sum(a.islower() and b.isupper() for a, b in zip(p, p[1:])) <= len(p) / 6) for p in re.split("[+/_=-]", run))
 
 
+def _merged(spans: list[tuple[int, str, int, int]]) -> list[tuple[int, int]]:
+    """Start and end of what spans (sorted) cover together."""
+    out: list[tuple[int, int]] = []
+    for a, _, b, _ in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _rests(runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What stays of runs when spans (both sorted, without overlaps) are cut out."""
+    k = 0
+    for a, b in runs:
+        while k < len(spans) and spans[k][0] < b:
+            if spans[k][1] > a:
+                if spans[k][0] > a:
+                    yield a, spans[k][0]
+                a = spans[k][1]
+                if a >= b:
+                    break
+            k += 1
+        if a < b:
+            yield a, b
+
+
 def found(text: str, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> list[tuple[int, str, int, int]]:
     """base(text) and the random strings beside them, in order."""
     out = base(text)
     more = []
-    for m in RUN.finditer(text):
-        run, a, b = m[0].strip("=/-_+"), m.start(), m.end()
-        if any(x[0] < b and a < x[2] for x in out) or len(run) < LEAST or known(run):
+    spans = _merged(out)
+    for a, b in _rests([m.span() for m in RUN.finditer(text)], spans):
+        run = text[a:b].strip("=/-_+")
+        if len(run) < LEAST or known(run):
             continue
         if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)):
-            a += m[0].index(run)
+            a = text.index(run, a)
             more.append((a, "token", a + len(run), a))
     return sorted(out + more, key=lambda x: (x[0], KINDS.index(x[1]))) if more else out
 
