@@ -3,7 +3,7 @@
 Text that a tokenizer's vocabulary was made for takes few tokens; a random string takes many. What patterns have found
 is cut out of each run of key characters, and every part left of at least LEAST characters is encoded with a tiktoken vocabulary, and a ratio of characters to
 tokens of at most RATIO reports it, unless it is a known digest (hexadecimal of a usual digest length, with or without
-a prefix such as sha256-), a UUID, a number, or an identifier: parts of letters of one case pattern with short numbers.
+a prefix such as sha256-), a UUID, a number, or an identifier: parts of letters with short numbers, whose words have themselves a greater ratio.
 
 Spans count code points and exclude their end. Null text counts as empty. Rows repeat as they are in the input.
 """
@@ -35,7 +35,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:(?:md5|sha\d+)[-_=]?)?([0-9a-f]+)", re.I)
-PART = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,4}")
+PART = re.compile(r"[A-Za-z]*\d{0,4}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -61,11 +62,16 @@ def base(text: str) -> list[tuple[int, str, int, int]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def known(run: str) -> bool:
+def known(run: str, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> bool:
     """A digest, UUID, number or identifier."""
     if (m := DIGEST.fullmatch(run)) and (len(m[1]) in DIGESTS or m[1].isdigit()) or UUID.fullmatch(run):
         return True
-    return all(PART.fullmatch(p) and (len(p) < 3 or sum(a.islower() and b.isupper() for a, b in zip(p, p[1:])) <= len(p) / 6) for p in re.split("[+/_=-]", run))
+    parts = re.split("[+/_=-]", run)
+    if not all(PART.fullmatch(p) and (len(p) < 3 or sum(a.islower() and b.isupper() for a, b in zip(p, p[1:])) <= len(p) / 6) for p in parts):
+        return False
+    # Only words of few tokens make an identifier; marks and numbers between them do not count.
+    words = [w.lower() for w in WORD.findall(run)]
+    return not words or sum(map(len, words)) > ratio * sum(map(len, encoding(vocabulary).encode_ordinary_batch(words, num_threads=1)))
 
 
 def _merged(spans: list[tuple[int, str, int, int]]) -> list[tuple[int, int]]:
@@ -102,7 +108,7 @@ def found(text: str, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> list
     spans = _merged(out)
     for a, b in _rests([m.span() for m in RUN.finditer(text)], spans):
         run = text[a:b].strip("=/-_+")
-        if len(run) < LEAST or known(run):
+        if len(run) < LEAST or known(run, vocabulary, ratio):
             continue
         if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)):
             a = text.index(run, a)

@@ -1,6 +1,9 @@
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -185,3 +188,16 @@ def test_random_strings_beside_patterns():
     assert spans(key + "_0123456789abcdef-" + key) == [(0, "token", 34), (35, "hex", 51), (52, "token", 86)]
     assert secrets.masked("x " + key + "/0123456789abcdef") == "x [SECRET]/[SECRET]"
     assert spans("0123456789abcdef/" + key + "/password=0123456789abcdef " + key) == [(0, "hex", 16), (17, "token", 51), (52, "assign", 77), (61, "hex", 77), (78, "token", 112)]
+
+
+def test_letters_are_no_identifier_as_such():
+    for run in ("qzxkvjwpmrtyhgfdsbncqzxk", "kqzxv-wjpmr-tyhgf-dsbnc", "QZXKVJWPMRTYHGFDSBNCQZXK", "qzxkvjwpmrtyhgfdsbnc_1234"):
+        assert [s[1:3] for s in secrets.found(f"a {run} b")] == [("token", 2 + len(run))]
+    for name in ("get_user_profile_by_identifier_v2", "SomeVeryLongCamelCaseIdentifier", "SOME_LONG_CONSTANT_NAME_HERE_2", "report-2024-01-15-final-version-3", "4111-1111-1111-1111-1111"):
+        assert secrets.found(name) == []
+
+
+def test_identifiers_need_no_backtracking():
+    # In a process of its own, as a pattern that does not end cannot be stopped from within.
+    code = "from corvane.llm import secrets; secrets.known('x' * 40 + '12345')"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
