@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, by Spark's own functions alone.
 
-A text is a sequence of units: words, and words of over UNIT characters in pieces of UNIT. A k-mer is K units in a row,
+A text is a sequence of units: words, and each character of words of over UNIT characters (texts written without spaces,
+long URLs). A k-mer is K units in a row,
 its inner substrings are the runs of S units in it. It is a closed syncmer if the least hash among its inner substrings
 stands first or last. Whether a k-mer is chosen depends on its own units alone, so an edit changes only the anchors
 whose k-mers it touches, and equal passages carry equal anchors wherever they stand.
@@ -30,7 +31,7 @@ def _let(value: Column, body) -> Column:
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Hashes of the closed syncmers of text, in text order."""
-    units = F.regexp_extract_all(text, F.lit(f"\\S{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(f"(?<!\\S)\\S{{1,{UNIT}}}(?!\\S)|\\S"), F.lit(0))
     inner = k - s
 
     def chosen(h: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,14 @@ def test_no_tools_no_rows(spark):
     assert chat.format_chat(none).count() == 0
     one = chat.format_chat(spark.createDataFrame([(1, 1, "assistant", CALL)], none.schema)).first()
     assert one["args_valid"] is None and one["n_calls"] == 3
+
+
+def test_one_character_in_a_text_without_spaces(spark):
+    r = random.Random(5)
+    a = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(3000))
+    texts = [a, a[:10] + "新" + a[10:], "see " + "/".join(a[k : k + 9] for k in range(0, 90, 9)) + " end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", syncmers.anchors(F.col("t")).alias("a"), syncmers.fingerprint(F.col("t")).alias("f"))
+    sets = {x["k"]: set(x["a"]) for x in rows.collect()}
+    assert len(sets[0]) > 500 and len(sets[0] ^ sets[1]) <= 12 and sets[2]
+    pair = rows.where("k = 0").select(F.col("f").alias("x")).crossJoin(rows.where("k = 1").select(F.col("f").alias("y")))
+    assert pair.select(syncmers.likeness(F.col("x"), F.col("y")).alias("s")).first()["s"] > 0.9
