@@ -8,7 +8,8 @@ down, give every node's exact marginal, and the text of nodes with a marginal of
 All trees of a batch pass messages together, one numpy step for each depth.
 
 Weights and potentials are trained by exact likelihood (gradient: observed minus expected counts, from the same
-messages) on labelled pages made from templates, see pages. Script, style and the like are never text.
+messages) on labelled pages made from templates, see pages. Script, style and the like are never text; where one of them
+other than script and style has no end tag, only its start tag is left out.
 
 Null html counts as empty, which gives an empty text. Pages without any content node give an empty text. White space
 inside a block (Unicode white space, br too) becomes one space, empty blocks vanish, blocks are joined in page order.
@@ -40,6 +41,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
+#: Of elements in RAW, the end tags; the text of the first two goes to the page's end where theirs is missing.
+RAW_END = {t: re.compile(f"</{t}[^>]*(?:>|\\Z)", re.I | re.A) for t in RAW}
+TO_END = frozenset(("script", "style"))
 
 
 class Node:
@@ -89,7 +93,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if stack[k][0] in stops:
                 return
 
-    lower = None
+    without: set[str] = set()  # elements of RAW that no end tag follows any more
     while True:
         m = TAG.search(source, at)
         if not m:
@@ -114,13 +118,14 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.append(" ")
             continue
         if tag in RAW:
-            if lower is None:
-                lower = source.lower()
-            if not m[3].rstrip().endswith("/"):
-                close = lower.find(f"</{tag}", at)
-                if close < 0:
+            if not m[3].rstrip().endswith("/") and tag not in without:
+                close = RAW_END[tag].search(source, at)
+                if close:
+                    at = close.end()
+                elif tag in TO_END:
                     break
-                at = source.find(">", close) + 1 or len(source)
+                else:
+                    without.add(tag)
             continue
         if tag in CLOSES_P:
             end({"p"}, {"table", "button", "td", "th", "blockquote", "div", "article", "section", "li", "body"} - {tag} if tag != "p" else {"table", "button"})

@@ -201,3 +201,14 @@ def test_identifiers_need_no_backtracking():
     # In a process of its own, as a pattern that does not end cannot be stopped from within.
     code = "from corvane.llm import secrets; secrets.known('x' * 40 + '12345')"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
+
+
+def test_text_after_raw_elements():
+    texts = lambda source: [t for _, t in htmltext.parse(source)[1]]
+    kept = ["Kept paragraph", "Next."]
+    assert texts("İ" * 20 + "<script>x=1</SCRIPT><p>Kept paragraph</p><p>Next.</p>")[-2:] == kept
+    for tag in ("noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video"):
+        assert texts(f"<{tag} class='x'><p>Kept paragraph</p><{tag}><p>Next.</p>") == kept
+        assert texts(f"<{tag}>gone</{tag.upper()} ><p>Kept paragraph</p><p>Next.</p>") == kept
+    assert texts("<p>Before</p><style>p {}<p>no text</p>") == ["Before"]
+    assert len(texts("<iframe>" * 20000 + "<p>one</p>")) == 1
