@@ -93,6 +93,8 @@ dialect("win_partitioned", "SELECT c_custkey, ROW_NUMBER() OVER (PARTITION BY c_
 # Order and limit.
 dialect("sort_multi", "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 50")
 dialect("sort_nulls", f"SELECT documents.doc_id, quality FROM {_OUTER} ORDER BY quality DESC, documents.doc_id LIMIT 700", "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality DESC NULLS FIRST, documents.doc_id LIMIT 700")
+dialect("sort_multi_whole", "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey")
+dialect("sort_nulls_whole", f"SELECT documents.doc_id, quality FROM {_OUTER} ORDER BY quality DESC, documents.doc_id", "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality DESC NULLS FIRST, documents.doc_id")
 dialect("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
 dialect("limit_unordered", "SELECT c_custkey, c_name FROM customer LIMIT 25", "SELECT c_custkey, c_name FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 25")
 dialect("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 5")

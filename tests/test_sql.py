@@ -214,3 +214,14 @@ def test_pushdown(spark, tmp_path):
     s.register_parquet("p", str(tmp_path / "p"))
     plan = "\n".join(r[0] for r in s.sql("EXPLAIN SELECT v FROM p WHERE id = 5.0 AND s LIKE '5%'").collect())
     assert "EqualTo(id,5)" in plan and "StringStartsWith(s,5)" in plan and "ReadSchema: struct<id:bigint,s:string,v:bigint>" in plan
+
+
+def test_sorts_of_whole_tables(spark):
+    from corvane import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = [tuple(r) for r in queries.QUERIES["sort_nulls_whole"](spark, sf).collect()]
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and {q for _, q in got} == {None, 0, 1}
+    assert got == sorted(got, key=lambda r: (-(2 if r[1] is None else r[1]), r[0]))
+    got = [tuple(r) for r in queries.QUERIES["sort_multi_whole"](spark, sf).collect()]
+    assert len(got) == spark.read.parquet(f"{sf}/customer.parquet").count() and got == sorted(got, key=lambda r: (-r[0], r[1]))
