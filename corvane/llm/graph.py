@@ -12,13 +12,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for each node of edges (a, b: long): root is the least node of its component, and not itself a row.
 
     Every round ties all larger neighbours of a node to the least one, then all smaller ones; each component becomes a
-    star in a logarithmic number of rounds. Minima are combined before their shuffle and written, so that a hub's edges
+    star in a logarithmic number of rounds, and edges that are stars from the start stay as they are. Minima are combined before their shuffle and written, so that a hub's edges
     meet its one row in a plain join of two scans, which adaptive execution can split. Each round is written to the shared folder, so a lost executor
     costs a round at most. Loops and repeated edges have no effect; an empty input gives an empty result.
     """
+
+    def mark(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen = mark(now)
+    for _ in range(rounds if seen[0] else 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -26,8 +30,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = scratch.keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+        before, seen = seen, mark(now)
+        if seen == before:
+            break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"no fixed point after {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

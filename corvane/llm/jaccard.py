@@ -1,83 +1,138 @@
 """Join of documents whose sets of word five-grams have a Jaccard similarity of at least 0.8.
 
-A MinHash LSH forest proposes the pairs. Each tree is a trie over signature prefixes; two texts meet in a tree if they
-share the prefix of its depth. All trees start at full depth, and prefixes are shortened, a tree at a time, until the
-chance that a pair just at the threshold meets in some tree reaches the target recall. Grouping by (tree, prefix) is
-what sorting a tree's signatures and cutting runs would give, without one order over all rows.
-
-Equal texts are one node with a number of copies. Texts that meet are tied to the least of their prefix group, and the
-components of these ties are split into blocks of at most about BLOCK texts; every pair of blocks of a component is
-verified in one task, by exact shingle sets, which returns only each text's number of links and a forest of ties. So
-neither pairs nor large groups are written out, yet every pair of texts in a component is compared.
-
-Words and shingles: see textkernel. Null text counts as empty; texts without words link only to equal texts. Rows with
-equal doc_id are counted as copies where their texts are equal. Further columns are ignored.
+A MinHash LSH forest proposes the pairs. A text's signature in a tree is a path of DEPTH levels, kept as one long whose
+order is the order of the tree's trie, so a node of the trie is a prefix of the path. Matching starts at prefixes of the
+least useful length; where more than CROWD texts share one, that node alone is opened a level deeper, down to the whole
+path. Seen from the leaves: a matched path is shortened for as long as the texts that share it stay few. Short prefixes
+meet a pair at the threshold with a high chance, so texts whose prefixes all stay short are done after the first trees;
+texts in crowded parts of the trie, which match by longer prefixes, go on with further trees until the chance that a
+pair at the threshold is met reaches the target recall. Of two texts the one that ends first accounts for the pair.
+
+Texts that meet are verified by exact shingle sets where they meet: the texts of a node in one unit of work, split into
+blocks of a bounded number of texts and bytes of which every two are compared. Nodes with the same texts are one. Whole
+paths that more than CROWD texts share tie their texts to dense groups first, each of which is compared once, block by
+block, whatever the number of trees in which its texts meet. A pair that meets more than once counts at its first node
+alone, so no list of pairs is ever written: a unit returns each text's number of links and a forest of ties.
+
+Nodes of the graph are distinct texts, by MD5. A null text counts as empty; texts without words link only to equal texts.
+Rows with one doc_id but different texts are different documents, and rows with a null doc_id are documents like all
+others. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, scratch, textkernel, tokens
 
-THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 16, 6, 0.9999
-BLOCK = 64
-
-
-def depths(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
-    """Prefix length of each tree: shortened one at a time until a pair at the threshold is met with the target chance."""
-    out = [depth] * trees
-    while 1 - np.prod([1 - threshold**d for d in out]) < recall:
-        k = int(np.argmax(out))
-        if out[k] == 1:
-            break
-        out[k] -= 1
-    return out
-
-
-def _prefixes(h: np.ndarray, counts: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """For each text and tree, a 64-bit hash of the tree's signature prefix; 0 rows stand for texts without shingles."""
-    full = np.flatnonzero(counts)
-    starts = (np.cumsum(counts) - counts)[full]
-    factors = np.random.default_rng(11).integers(1, 1 << 63, sum(lengths), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out, k = np.zeros((len(counts), len(lengths)), np.uint64), 0
-    for t, d in enumerate(lengths):
-        value = np.full(len(full), t + 1, np.uint64)
-        for _ in range(d):
-            least = np.minimum.reduceat(h * factors[k], starts) if len(full) else np.zeros(0, np.uint64)
-            value = textkernel.mix(value * np.uint64(0x9E3779B97F4A7C15) + least)
-            k += 1
-        out[full, t] = value
+THRESHOLD, RECALL = 0.8, 0.9999
+#: Levels of a path and bits of each; prefixes of fewer levels than LEAST are never tried.
+DEPTH, BITS, LEAST = 7, 9, 3
+#: Texts that may share a prefix before it is made longer.
+CROWD = 32
+BLOCK, BLOCK_BYTES = 128, 4_000_000
+_MOST_TREES = 48
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Path levels in use, the least prefix, trees for texts with short prefixes, all trees."""
+
+    threshold: float
+    depth: int
+    least: int
+    first: int
+    trees: int
+
+
+def trees_for(threshold: float, depth: int, recall: float) -> int:
+    """How many trees meet a pair at the threshold with the target chance, if prefixes have this length."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth) - 1e-9)) if threshold < 1 else 1
+
+
+def forest(threshold: float = THRESHOLD, recall: float = RECALL) -> Forest:
+    depth = max((d for d in range(1, DEPTH + 1) if trees_for(threshold, d, recall) <= _MOST_TREES), default=1)
+    least = min(LEAST, depth)
+    return Forest(threshold, depth, least, trees_for(threshold, least, recall), trees_for(threshold, depth, recall))
+
+
+def _paths(h: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each text with shingles and each tree its path; DEPTH levels long, the last ones 0 if fewer are in use."""
+    full = counts[counts > 0]
+    starts = np.cumsum(full) - full
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    factors = np.random.default_rng(11).integers(0, 1 << 31, (trees, depth), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    out = np.zeros((len(full), trees), np.int64)
+    if not len(full):
+        return out
+    for t in range(trees):
+        path = np.zeros(len(full), np.int64)
+        for f in factors[t]:
+            least = np.minimum.reduceat(low * f, starts)
+            least = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+            path = path << BITS | (least >> np.uint32(32 - BITS)).astype(np.int64)
+        out[:, t] = path << BITS * (DEPTH - depth)
     return out
 
 
-def signatures(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, key (of the text) and trees: the prefix hash of each tree, null without shingles."""
+def signatures(docs: DataFrame, shape: Forest) -> DataFrame:
+    """doc_id, key (of the text), bytes and paths (one a tree; none without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
-            texts = batch.column(1)
-            buf, off = textkernel.raw(texts)
-            for a, b in textkernel.steps(off):
+            buf, off = textkernel.raw(batch.column(1))
+            for a, b in textkernel.steps(off, 1 << 19):
                 own, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 h, counts = textkernel.shingles(own, at)
-                sig = _prefixes(h, counts, lengths).view(np.int64)
                 data = own.tobytes()
                 keys = [hashlib.md5(data[x:y]).digest() for x, y in zip(at[:-1], at[1:])]
-                n = np.where(counts > 0, len(lengths), 0)
-                places = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                trees = pa.ListArray.from_arrays(pa.array(places), pa.array(sig[counts > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), trees], names=["doc_id", "key", "trees"])
+                places = np.concatenate([[0], np.cumsum(np.where(counts > 0, shape.trees, 0))]).astype(np.int32)
+                paths = pa.ListArray.from_arrays(pa.array(places), pa.array(_paths(h, counts, shape.trees, shape.depth).ravel()))
+                columns = [batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(np.diff(at)), paths]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "bytes", "paths"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, bytes long, paths array<long>")
+
+
+def _descend(rows: DataFrame, shape: Forest, crowd: int) -> DataFrame:
+    """rows (node, t, path) -> node, bucket, depth, n: the nodes of the tries at which texts meet others. A level is
+    opened only below crowded nodes; counts are combined before they move, and a join's other side has one row a node."""
+    done = None
+    for d in range(shape.least, shape.depth + 1):
+        at = rows.withColumn("bucket", F.xxhash64("t", F.lit(d), F.shiftright("path", BITS * (DEPTH - d))))
+        shared = scratch.keep(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        met = scratch.keep(at.join(shared, "bucket").withColumn("depth", F.lit(d)), "met")
+        here = met if d == shape.depth else met.where(F.col("n") <= crowd)
+        done = here if done is None else done.unionByName(here)
+        if d == shape.depth or shared.where(F.col("n") > crowd).isEmpty():
+            break
+        rows = met.where(F.col("n") > crowd).select("node", "t", "path")
+    return done.select("node", "bucket", "depth", "n")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, trees array<long>")
+def meetings(texts: DataFrame, shape: Forest, crowd: int) -> DataFrame:
+    """node, bucket, n: where texts (node, paths) meet, after the first trees and, for texts with longer prefixes, all."""
+
+    def exploded(nodes: DataFrame, a: int, b: int) -> DataFrame:
+        return nodes.select("node", F.posexplode(F.slice("paths", a + 1, b - a)).alias("t", "path")).withColumn("t", F.col("t") + a)
+
+    out = _descend(exploded(texts, 0, shape.first), shape, crowd)
+    if shape.first < shape.trees:
+        crowded = scratch.keep(out.where(F.col("depth") > shape.least).select("node").distinct(), "crowded")
+        if not crowded.isEmpty():
+            more = scratch.keep(texts.select("node", "paths").join(crowded, "node", "left_semi"), "crowded_paths")
+            out = out.unionByName(_descend(exploded(more, shape.first, shape.trees), shape, crowd))
+    return out.select("node", "bucket", "n")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -101,35 +156,41 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """root, i, j, side, id, copies, text sorted by (root, i, j) -> id, links, hub, whole."""
+    """dense, unit, i, j, side, node, copies, place, buckets, text, sorted by the first four -> node, links, hub."""
 
-    def group(rows: list[tuple]) -> tuple[list, list, list, list]:
-        i, j = rows[0][1], rows[0][2]
-        sets = textkernel.sets(pa.array([r[6] for r in rows], pa.string()))
+    def group(rows: list[tuple]) -> tuple[list, list, list]:
+        dense, unit, i, j = rows[0][:4]
+        side, node, copies, place = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        apart = ~np.eye(len(rows), dtype=bool)
+        if i != j:
+            apart &= side[:, None] != side[None, :]
+        if not dense:
+            # Pairs of one dense group, or with a common bucket before this one, are compared there.
+            apart &= (place[:, None] != place[None, :]) | (place < 0)[:, None]
+            before = [np.array([b for b in r[8] if b < unit], np.int64) for r in rows]
+            if sum(map(len, before)):
+                apart &= overlaps(before) == 0
+        if not apart.any():
+            return [], [], []
+        sets = textkernel.sets(pa.array([r[9] for r in rows], pa.string()))
         sizes = np.array([len(s) for s in sets])
-        ids, copies, side = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
         common = overlaps(sets)
-        linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-        linked &= ids[:, None] != ids[None, :]
-        if i != j:
-            linked &= side[:, None] != side[None, :]
+        linked = apart & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
         links = linked @ copies
-        hub = np.arange(len(ids))
-        rank = np.argsort(np.argsort(ids))
-        label = rank.copy()
+        order = np.sort(node)
+        label = np.searchsorted(order, node)
         while True:
-            new = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1))
+            new = np.minimum(label, np.where(linked, label[None, :], len(node)).min(axis=1))
             if (new == label).all():
                 break
             label = new
-        hub = np.sort(ids)[label]
-        some = np.flatnonzero((links > 0))
-        return ids[some].tolist(), links[some].tolist(), hub[some].tolist(), [rows[0][7] == 1] * len(some)
+        some = np.flatnonzero(links > 0)
+        return node[some].tolist(), links[some].tolist(), order[label][some].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         held: list[tuple] = []
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list] = ([], [], [])
 
         def flush() -> None:
             if held:
@@ -138,67 +199,99 @@ def _verify(threshold: float):
                 held.clear()
 
         def batch() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "links", "hub", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "links", "hub"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:4] != held[0][:4]:
                     flush()
                 held.append(row)
             if len(out[0]) > 10_000:
                 yield batch()
-                out = ([], [], [], [])
+                out = ([], [], [])
         flush()
         yield batch()
 
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the least doc_id of its class), n_links (other rows at or above
-    the threshold, copies counted each), n_copies (rows with this very text)."""
-    spark = docs.sparkSession
-    scratch.ship(spark)
-    signed = scratch.keep(signatures(docs, depths(threshold, trees, depth, recall)), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("trees").alias("trees"))
-    texts = scratch.keep(texts, "texts")
-    met = texts.select("id", F.explode("trees").alias("prefix"))
-    groups = met.groupBy("prefix").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "least")
-    # Written, so that the join is one of two scans, whose hot keys adaptive execution can split.
-    groups = scratch.keep(groups, "groups")
-    ties = met.join(groups, "prefix").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    near = graph.components(ties)
-    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-    near = scratch.keep(near, "near")
-    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    sizes = scratch.keep(sizes, "sizes")
-    placed = near.join(sizes, "root").select(F.col("node").alias("id"), "root", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("k"))
-    placed = scratch.keep(placed.join(texts.select("id", "copies"), "id"), "placed")
-    # A text goes to the pair of its block with each block of its component.
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(placed, "id").dropDuplicates(["id"])
-    dealt = found.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "id", "copies", "text", "nb"
+def _key(text) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def _with_roots(found: DataFrame) -> DataFrame:
+    """node, root with a row for each root as well."""
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _blocks(members: DataFrame, sizes: DataFrame, dense: bool, block: int, block_bytes: int) -> DataFrame:
+    """members (unit, node, ...) with dense, nb (blocks of the unit) and k (the block of the node)."""
+    # Written: what a hot unit's many nodes meet has one row, in a join that adaptive execution can split.
+    units = members.join(sizes, "node").groupBy("unit").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("nb"))
+    units = scratch.keep(units, "units")
+    return members.join(units, "unit").withColumns({"dense": F.lit(dense), "k": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")})
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """signed: doc_id and key of each row; and one row a distinct text: key, node, id (least doc_id), copies, root (a node
+    that stands for its class), class_id (least doc_id of the class, null if it has none), links (rows of other texts)."""
+    scratch.ship(docs.sparkSession)
+    shape = forest(threshold, recall)
+    signed = scratch.keep(signatures(docs, shape), "signatures")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.max("bytes").alias("bytes"))
+    # The written table fixes these numbers, which have no collisions as hashes would.
+    texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    sizes = texts.select("node", "bytes")
+    met = meetings(texts, shape, crowd)
+    packed = met.where(F.col("n") > crowd).select("node", "bucket")
+    hubs = scratch.keep(packed.groupBy("bucket").agg(F.min("node").alias("least")), "hubs")
+    groups = _with_roots(graph.components(packed.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    thin = met.where(F.col("n") <= crowd).join(groups.withColumnRenamed("root", "place"), "node", "left").select("node", "bucket", F.coalesce("place", F.lit(-1)).alias("place"))
+    # Nodes of the tries with the same texts are one, and those within one dense group are left out.
+    same = thin.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("place").alias("p"), F.max("place").alias("q"))
+    chosen = scratch.keep(same.where("p < q or p < 0").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "chosen")
+    members = scratch.keep(thin.join(chosen, "bucket"), "members")
+    # At most one bucket a tree.
+    buckets = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    light = _blocks(members.join(buckets, "node").withColumnRenamed("bucket", "unit"), sizes, False, block, block_bytes)
+    dense = _blocks(groups.select(F.col("root").alias("unit"), "node"), sizes, True, block, block_bytes).withColumns({"place": F.lit(-1).cast("long"), "buckets": F.array().cast("array<long>")})
+    placed = scratch.keep(light.unionByName(dense), "placed")
+    wanted = placed.select("node").distinct().join(texts.select("node", "key", "copies"), "node")
+    found = docs.select(_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key").groupBy("node").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    # A text goes to the pair of its block with each block of its unit.
+    dealt = placed.join(found, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "dense", "unit", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "node", "copies", "place", "buckets", "text"
     )
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    checked = scratch.keep(dealt.mapInArrow(_verify(threshold), "id long, links long, hub long, whole boolean"), "checked")
-    # Components of one block are complete; forests of larger ones are joined.
-    larger = graph.components(checked.where("not whole").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    links = checked.groupBy("id").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("hub"))).alias("hub"))
-    classes = texts.select("key", "id", "copies").join(links, "id", "left").join(larger.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("key", "copies", F.coalesce("root", "hub", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
-
-
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which one stays for each class: that with the least doc_id; all columns as they were.
-
-    Of several rows with that doc_id one stays. Rows with a null doc_id have no class and all stay.
+    dealt = dealt.repartition("dense", "unit", "i", "j").sortWithinPartitions("dense", "unit", "i", "j")
+    checked = scratch.keep(dealt.mapInArrow(_verify(threshold), "node long, links long, hub long"), "checked")
+    roots = _with_roots(graph.components(checked.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    least = scratch.keep(roots.join(texts.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("class_id")), "least_ids")
+    linked = checked.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node").join(least, "root")
+    out = texts.select("key", "node", "id", "copies").join(linked, "node", "left")
+    named = {"root": F.coalesce("root", "node"), "class_id": F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")), "links": F.coalesce("links", F.lit(0))}
+    return signed.select("doc_id", "key"), scratch.keep(out.withColumns(named), "classes")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, with_class: bool = False, **options) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (the least doc_id of its class, null if it has none), n_links (other
+    rows at or above the threshold, copies counted each), n_copies (rows with this very text), and with with_class also
+    class_key, which tells classes apart where one doc_id stands in several."""
+    signed, texts = classes(docs, threshold, **options)
+    texts = texts.select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), *[F.col("root").alias("class_key")] * with_class)
+    return signed.join(texts, "key").drop("key")
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of docs of which one stays for each class: that with the least doc_id (a null one only if there is no
+    other), of several such that whose text has the least MD5; of rows equal in both any one. All columns as they were.
     """
-    kept = join(docs.where("doc_id is not null"), **options).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.select(*[f"`{c}`" for c in docs.columns])
-    some = named.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(named.where("doc_id is null"))
+    _, texts = classes(docs, threshold, **options)
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
+    kept = scratch.keep(first.select("first.id", "first.key"), "kept")
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("key", _key(F.col(names["text"])))
+    rows = rows.join(kept, "key").where(F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 SQL = f"""

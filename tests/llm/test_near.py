@@ -85,13 +85,66 @@ def test_repeated_rows_nulls_and_empty_tables(spark, docs):
     assert jaccard.deduplicate(docs.where("false")).count() == 0
 
 
-def test_depths_reach_the_recall():
+def test_one_id_may_have_several_texts(spark):
+    base, other = (" ".join(f"{p}{i}" for i in range(60)) for p in "bo")
+    rows = [(1, base), (1, other), (2, base + " x"), (3, other + " y"), (None, base + " z"), (None, base + " z"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "x", 7) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.join(df, with_class=True).collect()]
+    assert Counter(got) == Counter([(1, 1, 3, 1), (1, 1, 1, 1), (2, 1, 3, 1), (3, 1, 1, 1), (None, 1, 3, 2), (None, 1, 3, 2), (4, 4, 1, 2), (5, 4, 1, 2)])
+    assert len({r["class_key"] for r in jaccard.join(df, with_class=True).collect()}) == 3
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicate(df).collect()]
+    assert len(kept) == 3 and set(kept[:3]) >= {(1, base), (1, other)}
+    only = jaccard.join(spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g")], "doc_id long, text string")).collect()
+    assert [(r["class_id"], r["n_links"]) for r in only] == [(None, 1)] * 2
+
+
+def test_crowded_prefixes_lose_no_link(spark):
+    """Texts that share most shingles: prefixes grow, further trees are used, and dense groups are compared by blocks."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    hub, texts = [word() for _ in range(120)], []
+    for _ in range(160):
+        w = list(hub)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    links, roots = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd, block, size in ((4, 16, 4_000_000), (16, 128, 9_000)):
+        out = jaccard.join(df, crowd=crowd, block=block, block_bytes=size).toPandas().set_index("doc_id")
+        found, all_ = sum(out.n_links), sum(links.values())
+        assert found <= all_ and found >= 0.998 * all_, (crowd, found, all_)
+        assert [out.class_id[i] for i in range(len(texts))] == roots
+
+
+def test_large_groups_of_copies_and_recall_of_queries(spark):
+    """10,000 copies of a text are one node; of ids divisible by 50 against all rows, links are found."""
+    texts = corpus(120, 5)
+    rows = [*enumerate(texts), *((1000 + k, texts[30]) for k in range(10_000))]
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    links, _ = brute(texts)
+    s = [shingles(t) for t in texts]
+    near = [k for k in range(len(texts)) if s[k] and len(s[k] & s[30]) >= 0.8 * len(s[k] | s[30]) - 1e-9]
+    wanted = {k: links[k] + (10_000 if k in near else 0) for k in range(len(texts))}
+    queries = range(0, len(texts), 50)
+    assert sum(out.n_links[k] for k in queries) >= 0.9 * sum(wanted[k] for k in queries)
+    assert all(out.n_links[k] == wanted[k] for k in wanted) and out.n_copies[1005] == out.n_copies[30] == 10_001
+
+
+def test_forests_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95):
-        d = jaccard.depths(threshold)
-        miss = 1.0
-        for k in d:
-            miss *= 1 - threshold**k
-        assert 1 - miss >= jaccard.RECALL or set(d) == {1}
+        f = jaccard.forest(threshold)
+        for trees, depth in ((f.first, f.least), (f.trees, f.depth)):
+            assert 1 - (1 - threshold**depth) ** trees >= jaccard.RECALL - 1e-12
+        assert f.first <= f.trees <= jaccard._MOST_TREES
+
+
+def test_paths_share_prefixes_as_sets_are_alike():
+    words = [f"w{i}" for i in range(400)]
+    h, n = textkernel.shingles(*textkernel.raw(pa.array([" ".join(words[:360]), " ".join(words[:324]), " ".join(words), ""])))
+    p = jaccard._paths(h, n, 40, 7)
+    same = (p[0] >> 54 == p[1] >> 54).mean()
+    assert p.shape == (3, 40) and 0.75 < same <= 1 and (p >= 0).all()
 
 
 def test_overlaps():
