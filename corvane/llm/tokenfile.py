@@ -28,6 +28,10 @@ from . import scratch, tokens
 
 #: Ids after which a block ends (with the document that reaches it).
 BLOCK = 1 << 18
+#: Bytes of text in a range of doc_id, and how many ranges there are at most (beyond that ranges grow).
+PART_BYTES, MOST_PARTS, UNIT = 64_000_000, 20_000, 4096
+#: Stands for a null doc_id.
+LEAST = -(1 << 63)
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1).astype(np.int32)
 _TOTAL = _LENGTHS.sum(axis=1, dtype=np.int32)
 _PLACES = (np.cumsum(_LENGTHS, axis=1) - _LENGTHS).astype(np.int32)
@@ -66,7 +70,8 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) -> DataFrame:
     """_pid, doc_id, n_tokens, ids (compressed): _pid is the range of doc_id that the row belongs to.
 
-    A task's last row has n_tokens 0, which no document has, and holds how often the task saw each id.
+    A doc_id that stands in several cuts has so many rows that they fill the ranges between them, dealt by the checksum
+    of their ids. A task's last row has n_tokens 0, which no document has, and holds how often the task saw each id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +91,11 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int]) ->
                 head = bytes([wide])
                 packed = [pack.compress(head + b"".join(p[x:y].tobytes() for p in planes)) for x, y in zip((ends - counts - 1).tolist(), ends.tolist())]
                 key = part.column(0)
-                pid = np.searchsorted(edges, key.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(pid), key, pa.array(counts + 1), pa.array(packed, pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
+                value = key.fill_null(LEAST).to_numpy()
+                pid, left = np.searchsorted(edges, value, "right"), np.searchsorted(edges, value, "left")
+                for i in np.flatnonzero(pid - left > 1):
+                    pid[i] = left[i] + 1 + zlib.crc32(packed[i]) % (pid[i] - left[i])
+                yield pa.RecordBatch.from_arrays([pa.array(pid.astype(np.int32)), key, pa.array(counts + 1), pa.array(packed, pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
         task = TaskContext.get().partitionId() % (len(cuts) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([None], pa.int64()), pa.array([0]), pa.array([pack.compress(seen.astype("<i8").tobytes())], pa.binary())], names=["_pid", "doc_id", "n_tokens", "ids"])
 
@@ -103,32 +111,29 @@ def _ids(packed: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, rows_a_part: int = 20_000) -> None:
-    """Writes {at}/blocks and {at}/ranks. Each text is encoded once; ids cross one shuffle, to their range of doc_id."""
+def _cuts(docs: DataFrame, part_bytes: int) -> list[int]:
+    """Bounds of ranges of doc_id with about equal bytes of text; an id with the bytes of several ranges stands in several.
+
+    Every text counts once for each UNIT bytes. The bounds are at most MOST_PARTS numbers, whatever the input.
+    """
+    spark = docs.sparkSession
+    weight = F.floor(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) / UNIT).cast("int") + 1
+    sized = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), weight.alias("n"))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * UNIT // part_bytes)))
+    if parts < 2 or not total:
+        return []
+    spread = sized.select(F.explode(F.array_repeat("id", F.col("n"))).alias("id"))
+    return list(spread.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0])
+
+
+def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, part_bytes: int = PART_BYTES) -> None:
+    """Writes {at}/blocks and {at}/ranks. Each text is encoded once; ids cross one shuffle, to their range of doc_id. The
+    files of {at}/blocks, by name, and the rows in them hold the documents in ascending doc_id order."""
     spark = docs.sparkSession
     scratch.ship(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_a_part))
-    # Bounds of the ranges: at most one number a partition, from doc_id alone.
-    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts or []})
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the number of ids before each row in its range; a range is one task here, in order."""
-        now, before = None, 0
-        for b in batches:
-            pid, n = b.column(0).to_numpy(), b.column(2).to_numpy()
-            start = np.zeros(len(n), np.int64)
-            for p in np.unique(pid):
-                mine = np.flatnonzero(pid == p)
-                if p != now:
-                    now, before = p, 0
-                ends = before + np.cumsum(n[mine])
-                start[mine] = ends - n[mine]
-                before = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start)], names=[*b.schema.names, "start"])
-
-    raw = _tokenised(docs, tokenizer, end_id, cuts).repartitionById(len(cuts) + 1, F.col("_pid")).sortWithinPartitions("_pid", "doc_id")
-    stage = scratch.keep(raw.mapInArrow(number, "_pid int, doc_id long, n_tokens long, ids binary, start long"), "stage", "uncompressed")
+    cuts = _cuts(docs, part_bytes)
+    stage = scratch.keep(_tokenised(docs, tokenizer, end_id, cuts), "stage", "uncompressed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -147,14 +152,16 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
     shared = spark.sparkContext.broadcast(rank_of)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, held, size, now = zstandard.ZstdDecompressor(), [], 0, None
+        unpack, held, size, now, before = zstandard.ZstdDecompressor(), [], 0, None, 0
 
         def block() -> pa.RecordBatch:
+            nonlocal before
             values = shared.value[np.concatenate([_ids(x[3], unpack) for x in held])]
             control, data = encode(values)
             docs, lengths = [x[1] for x in held], [x[2] for x in held]
+            start, before = before, before + len(values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([held[0][4]], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                [pa.array([now], pa.int32()), pa.array([start], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["part", "start_in_part", "n_ids", "doc_ids", "lengths", "control", "data"],
             )
 
@@ -163,14 +170,17 @@ def write(docs: DataFrame, at: str, tokenizer: str = "byte_bpe_50k.json", end_id
                 if held and (row[0] != now or size >= BLOCK):
                     yield block()
                     held, size = [], 0
-                now = row[0]
+                if row[0] != now:
+                    now, before = row[0], 0
                 held.append(row)
                 size += row[2]
         if held:
             yield block()
 
     kind = "part int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    stage.where("n_tokens > 0").mapInArrow(blocks, kind).write.option("compression", "snappy").parquet(f"{at}/blocks")
+    # A range is one task, in order, and its number that of its file.
+    dealt = stage.where("n_tokens > 0").repartitionById(len(cuts) + 1, F.col("_pid")).sortWithinPartitions("_pid", "doc_id")
+    dealt.mapInArrow(blocks, kind).write.option("compression", "snappy").parquet(f"{at}/blocks")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{at}/ranks")
 
 

@@ -3,6 +3,9 @@
 A text is cut where no token can cross: before a lone space between two other characters (byte-level BPE keeps the
 space with what follows) or at any space or line end (BPE with word ends drops white space). Ids of the pieces are
 kept, up to a number of pieces, so that frequent words are encoded once in a worker.
+
+A text in which one of the vocabulary's special tokens is spelled out goes through the library whole, which gives that
+token's own id, as the library does by default; with literal such spellings are plain text instead.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ _RARE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Latin letters whose lower case and normal form do not depend on what stands around them; ASCII marks but no apostrophe.
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters behind which ASCII marks are a pre-token of their own; others may change in the vocabulary's normal form.
+_FIRM = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 _NONE: list[int] = []
 # Byte-level BPE shows each byte as a character: printable ones as themselves, the others from 256 on, in order.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -39,12 +44,13 @@ _LONE = re.compile(r"(?<=\S) (?=\S)")
 class Pieces:
     """encode(texts) gives all ids, and their number for each text."""
 
-    def __init__(self, name: str, keeps_space: bool, kept: int = KEPT):
+    def __init__(self, name: str, keeps_space: bool, kept: int = KEPT, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = literal
+        self.special = [] if literal else [x.content.encode() for x in self.model.get_added_tokens_decoder().values()]
         self.keeps_space, self.kept = keeps_space, kept
         self.clear()
 
@@ -110,9 +116,21 @@ class Pieces:
         return np.fromiter(map(of.__getitem__, parts), np.int32, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        data = textkernel.raw(texts)[0].tobytes()
+        if not any(x in data for x in self.special):
+            return self._encode(texts)
+        found = np.logical_or.reduce([pc.match_substring(texts, x.decode()).to_numpy(zero_copy_only=False) for x in self.special])
+        ids, counts = self._encode(pc.if_else(pa.array(found), "", texts))
+        own = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(found):
+            own[i] = np.array(self.model.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(own), np.array([len(x) for x in own])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.of) > self.kept:
             self._shrink()
-        texts = pc.fill_null(texts, "")
         # Lines of BPE with spaces stand apart: their first part has no space, and a lone line end is a token of its own.
         lines = pc.split_pattern(texts, "\n")
         counts = np.diff(lines.offsets.to_numpy().astype(np.int64))
@@ -131,7 +149,7 @@ class Pieces:
         stems = pc.utf8_rtrim(coded.dictionary, _MARKS)
         marked = np.flatnonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(coded.dictionary)).to_numpy(zero_copy_only=False))
         for i, stem in zip(marked.tolist(), stems.take(pa.array(marked)).to_pylist()):
-            if stem and stem[-1].isalnum():
+            if stem and _FIRM.match(stem[-1]):
                 heads[i], tails[i] = stem, heads[i][len(stem) :]
         index = coded.indices.to_numpy()
         at = np.empty((len(index), 2), np.int32)

@@ -1,8 +1,10 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,9 +16,7 @@ TEXTS += [" ".join(np.random.default_rng(k).choice(WORDS, 40 * k)) for k in rang
 
 
 def model(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def rows():
@@ -92,6 +92,46 @@ def test_token_file(spark, docs):
         start += len(ids)
 
 
+def fuzzed(n, seed):
+    r = np.random.default_rng(seed)
+    some = [*"abcXYZ019 .,;:!?'\"()-_/<>|@#", *"İıŞŞßéÉñžŁœÆ", *"дЯжΣς", *"漢字かな", *"\t\n\r\x00\x1c\x85\u00a0\u2028\u3000\u0307\u0301\ufeff\u200d", *"😀🏽²½Ⅷ", "  ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "don't", "'S", "İ--", "İ,", "e\u0301..", "the ", "word, ", "ŞİRKETİ. ", "TÜRKİYE'Sİ, "]
+    weight = r.random((n, 1)) ** 3
+    return ["".join(some[i] for i in r.integers(0, len(some), int(r.integers(1, 24)) + int(20 * w[0]))) for w in weight]
+
+
+@pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("literal", [False, True])
+def test_ids_are_the_library_s_for_any_text(name, keeps, literal):
+    """All of them, and so many that some lengths, marks and spaces meet: with special tokens spelled out as well."""
+    texts = fuzzed(16_000, 1 + literal)
+    t = model(name)
+    t.encode_special_tokens = literal
+    expected = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    pieces = tokens.Pieces(name, keeps, kept=20_000, literal=literal)
+    got = []
+    for at in range(0, len(texts), 2000):
+        ids, counts = pieces.encode(pa.array(texts[at : at + 2000]))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    wrong = [(x, a, b) for x, a, b in zip(texts, got, expected) if a != b]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_blocks_stand_in_ascending_order_and_hot_ids_are_split(spark):
+    rows = [(k * 7919 % 600, "w " * (k % 300)) for k in range(600)] + [(300, f"hot {k} " * 40) for k in range(900)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    at = scratch.path(spark, "t")
+    tokenfile.write(df, at, part_bytes=20_000)
+    files = sorted(f for f in os.listdir(f"{at}/blocks") if f.startswith("part-"))
+    ids, hot = [], 0
+    for f in files:
+        one = [-1 if i is None else i for b in pq.read_table(f"{at}/blocks/{f}").to_pylist() for i in b["doc_ids"]]
+        hot += 300 in one
+        ids += one
+    assert ids == sorted(-1 if i is None else i for i, _ in rows) and len(files) > 8 and hot > 4
+    out = tokenfile.read(spark, at).toPandas().sort_values("start")
+    assert (out.start == out.n_tokens.cumsum() - out.n_tokens).all() and len(out) == len(rows)
+
+
 def test_words_and_shingles():
     texts = [*TEXTS, "a b c d", "a b c d e", "a b c d e f a b c d e"]
     buf, off = textkernel.raw(pa.array(texts, pa.string()))
