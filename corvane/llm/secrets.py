@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, tokens
+from . import scratch, textkernel, tokens
 
 LEAST, RATIO = 20, 2.2
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO) ->
         tokens.forget()
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in textkernel.strings(batch.column(1)):
                 spans = found(text or "", vocabulary, ratio)
                 kinds = [s[1] for s in spans]
                 plain = _joined([s for s in spans if s[1] != "token"])
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         tokens.forget()
         for batch in batches:
             names, columns = batch.schema.names, list(batch.columns)
-            before = columns[names.index("text")].to_pylist()
+            before = textkernel.strings(columns[names.index("text")])
             after = [t and masked(t, mark) for t in before]
             columns[names.index("text")] = pa.array(after, pa.string())
             if "n_chars" in names:

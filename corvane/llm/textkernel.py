@@ -68,9 +68,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def strings(texts: pa.Array) -> list[str | None]:
+    """The texts as Python strings, far faster than one scalar at a time."""
+    return texts.to_numpy(zero_copy_only=False).tolist() if len(texts) else []
+
+
 def folded(texts: pa.Array) -> pa.Array:
     """texts without letter case and without the marks at either end of each word; words of marks alone vanish."""
-    low = pa.array([t and t.casefold() for t in texts.to_pylist()], pa.string())
+    low = pa.array([t and t.casefold() for t in strings(texts)], pa.string())
     low = pc.replace_substring_regex(low, f"(^|[{_BLANK}]){_MARKS}", r"\1")
     return pc.replace_substring_regex(low, f"{_MARKS}([{_BLANK}]|$)", r"\1")
 

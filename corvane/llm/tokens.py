@@ -143,12 +143,12 @@ class Pieces:
         flat, places = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         places = places - places[0]
         coded = flat.dictionary_encode()
-        heads = coded.dictionary.to_pylist()
+        heads = textkernel.strings(coded.dictionary)
         tails = [""] * len(heads)
         # Only parts that end in a mark are cut.
         stems = pc.utf8_rtrim(coded.dictionary, _MARKS)
         marked = np.flatnonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(coded.dictionary)).to_numpy(zero_copy_only=False))
-        for i, stem in zip(marked.tolist(), stems.take(pa.array(marked)).to_pylist()):
+        for i, stem in zip(marked.tolist(), textkernel.strings(stems.take(pa.array(marked)))):
             if stem and _FIRM.match(stem[-1]):
                 heads[i], tails[i] = stem, heads[i][len(stem) :]
         index = coded.indices.to_numpy()

@@ -103,7 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: in
 
 
 def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return textkernel.raw(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()))
+    return textkernel.raw(pa.array([(t or "").lower() for t in textkernel.strings(texts)], pa.string()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN) -> tuple[np.ndarray, float]:
