@@ -11,8 +11,14 @@ Weights and potentials are trained by exact likelihood (gradient: observed minus
 messages) on labelled pages made from templates, see pages. Script, style and the like are never text; where one of them
 other than script and style has no end tag, only its start tag is left out.
 
+Pages are read by the states of HTML's own tokenizer, in linear time: quotes, slashes and letter case in tags, comments,
+elements of raw text, a tag that the page's end cuts off. One thing differs: a quote that nothing on the rest of the page
+closes does not swallow the page but belongs to a value without quotes.
+
 Null html counts as empty, which gives an empty text. Pages without any content node give an empty text. White space
 inside a block (Unicode white space, br too) becomes one space, empty blocks vanish, blocks are joined in page order.
+Rows that repeat stay, null page_id and url too; an empty table gives an empty result. Further columns are ignored,
+also if they are named like outputs.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,17 +40,99 @@ from . import pages, scratch
 BITS = 14
 # Element names as HTML defines their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("noscript template svg math object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: A start of the key ends an open element of the value, unless one of the stops stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# The white space of HTML's syntax.
+_WS = "\\t\\n\\f\\r "
+_SKIP = re.compile(f"[{_WS}/]*")
+_TAG_NAME = re.compile(f"[A-Za-z][^{_WS}/>]*")
+_ATTRIBUTE = re.compile(f"(=?[^{_WS}/>=]*)(?:[{_WS}]*(=)[{_WS}]*)?")
+_BARE = re.compile(f"[^{_WS}>]*")
+_EMPTY_COMMENT, _COMMENT_END = re.compile("!---?>"), re.compile("--!?>")
 NAME = re.compile(r"[a-z]+")
-#: Of elements in RAW, the end tags; the text of the first two goes to the page's end where theirs is missing.
-RAW_END = {t: re.compile(f"</{t}[^>]*(?:>|\\Z)", re.I | re.A) for t in RAW}
+WANTED = frozenset(("class", "id", "role", "data-label"))
+#: Elements whose content is characters up to their end tag: never text, and text.
 TO_END = frozenset(("script", "style"))
+RAW_TEXT, PLAIN_TEXT = frozenset("script style iframe noembed noframes xmp".split()), frozenset(("title", "textarea"))
+
+
+class Source:
+    """A page read from left to right. Searches that failed once are not made again, so any page takes linear time."""
+
+    def __init__(self, text: str):
+        self.text, self.absent, self.closed = text, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        out = self.text.find(what, at)
+        if out < 0:
+            self.absent.add(what)
+        return out
+
+    def tag(self, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """End of the tag whose name ends at this place (-1: the page ends first), wanted attributes, a slash at its end.
+
+        A quote that nothing closes on the rest of the page is part of a value without quotes.
+        """
+        text, out = self.text, []
+        if self.find(">", at) < 0:
+            return -1, out, False
+        while True:
+            at = _SKIP.match(text, at).end()
+            if at >= len(text):
+                return -1, out, False
+            if text[at] == ">":
+                return at + 1, out, text[at - 1] == "/"
+            m = _ATTRIBUTE.match(text, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = text[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if end < 0:
+                    end = _BARE.match(text, at).end()
+                    value, at = text[at:end], end
+                else:
+                    value, at = text[at + 1 : end], end + 1
+            if m[1].lower() in WANTED:
+                out.append((m[1].lower(), value))
+
+    def end_of(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Start and end of the first end tag of this name."""
+        if tag in self.absent:
+            return None
+        m = _end_tag(tag).search(self.text, at)
+        if not m:
+            self.absent.add(tag)
+            return None
+        end = self.text.find(">", m.end())
+        return m.start(), end + 1 if end >= 0 else len(self.text)
+
+    def closing(self, tag: str, start: int) -> int | None:
+        """End of the element of this name that starts here; elements of one name nest."""
+        if tag not in self.closed:
+            pairs, open_ = {}, []
+            for m in _either_tag(tag).finditer(self.text):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    end = self.text.find(">", m.end())
+                    pairs[open_.pop()] = end + 1 if end >= 0 else len(self.text)
+            self.closed[tag] = pairs
+        return self.closed[tag].get(start)
+
+
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[{_WS}/>]|\\Z)", re.I | re.A)
+
+
+@lru_cache(maxsize=64)
+def _either_tag(tag: str) -> re.Pattern:
+    return re.compile(f"<(/?){tag}(?=[{_WS}/>])", re.I | re.A)
 
 
 class Node:
@@ -54,16 +143,19 @@ class Node:
         self.text, self.linked, self.own = 0, 0, 0
 
 
-def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents before children, and the blocks of text in page order with their node."""
     nodes, blocks = [Node("#root", -1, 0, [], -1)], []
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag, node (an inline element has its block's)
+    # Where each name stands on the stack, and where blocks do: no tag makes a search of the stack.
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    solid = [0]
     parts: list[str] = []
-    links = at = 0
+    source, at = Source(page), 0
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split()) if any("&" in p for p in parts) else " ".join("".join(parts).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 node = nodes[stack[-1][1]]
@@ -73,80 +165,112 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def say(text: str) -> None:
         if text:
+            text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if opened["a"]:
                 nodes[stack[-1][1]].linked += len(text)
 
     def pop(to: int) -> None:
-        nonlocal links
-        if any(tag not in INLINE for tag, _ in stack[to:]):
+        if solid[-1] >= to:
             flush()
+        while solid[-1] >= to:
+            solid.pop()
         for tag, _ in stack[to:]:
-            links -= tag == "a"
+            opened[tag].pop()
         del stack[to:]
 
+    def push(tag: str, node: int) -> None:
+        opened[tag].append(len(stack))
+        if tag not in INLINE:
+            solid.append(len(stack))
+        stack.append((tag, node))
+
+    def last(tags: set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
     def end(tags: set[str], stops: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                pop(k)
-                return
-            if stack[k][0] in stops:
-                return
-
-    without: set[str] = set()  # elements of RAW that no end tag follows any more
-    while True:
-        m = TAG.search(source, at)
-        if not m:
-            say(source[at:])
+        at = last(tags)
+        if at > last(stops):
+            pop(at)
+
+    def block(tag: str, attributes: list[tuple[str, str]]) -> int:
+        flush()
+        names, label = [], -1
+        for name, value in attributes:
+            if name == "data-label":
+                label = int(value) if value in ("0", "1") else -1
+            else:
+                names += NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+        nodes.append(Node(tag, stack[-1][1], nodes[stack[-1][1]].depth + 1, names, label))
+        return len(nodes) - 1
+
+    n = len(page)
+    while at < n:
+        begin = source.find("<", at)
+        if begin < 0:
+            say(page[at:])
             break
-        say(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        say(page[at:begin])
+        at, mark = begin + 1, page[begin + 1 : begin + 2]
+        if mark == "!" or mark == "?":
+            if page.startswith("!--", at):
+                m = _EMPTY_COMMENT.match(page, at) or _COMMENT_END.search(page, at + 3)
+                at = m.end() if m else n
+            else:
+                close = source.find(">", at)
+                at = close + 1 if close >= 0 else n
+            continue
+        closing = mark == "/"
+        m = _TAG_NAME.match(page, at + closing)
+        if not m:
+            if closing and at + 1 < n:
+                # "</>" and the like are comments.
+                close = source.find(">", at)
+                at = close + 1 if close >= 0 else n
+            else:
+                parts.append("<")
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+        tag = m[0].lower()
+        at, attributes, slash = source.tag(m.end())
+        if at < 0:
+            break  # the page ends in a tag
+        if closing:
+            if tag in ("br", "p") and not opened[tag]:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            # An inline end tag does not reach out of its block.
+            if opened[tag] and (tag not in INLINE or opened[tag][-1] > solid[-1]):
+                pop(opened[tag][-1])
             continue
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in RAW_TEXT:
+            place = source.end_of(tag, at)
+            if place:
+                at = place[1]
+            elif tag in TO_END:
+                break
+            continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") and tag not in without:
-                close = RAW_END[tag].search(source, at)
-                if close:
-                    at = close.end()
-                elif tag in TO_END:
-                    break
-                else:
-                    without.add(tag)
+            if not (slash and tag in ("svg", "math")):
+                at = source.closing(tag, begin) or at
             continue
         if tag in CLOSES_P:
             end({"p"}, {"table", "button", "td", "th", "blockquote", "div", "article", "section", "li", "body"} - {tag} if tag != "p" else {"table", "button"})
         if tag in ENDS:
             end(*ENDS[tag])
-        if tag in INLINE:
+        if tag in PLAIN_TEXT and (place := source.end_of(tag, at)):
+            push(tag, block(tag, attributes))
+            say(page[at : place[0]])
+            pop(len(stack) - 1)
+            at = place[1]
+        elif tag in INLINE:
             if tag not in VOID:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
-            continue
-        flush()
-        names, label = [], -1
-        for a in ATTR.finditer(m[3]):
-            value = a[2] or a[3] or a[4] or ""
-            if a[1].lower() == "data-label":
-                label = int(value) if value in ("0", "1") else -1
-            else:
-                names += NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-        nodes.append(Node(tag, stack[-1][1], nodes[stack[-1][1]].depth + 1, names, label))
-        if tag not in VOID:
-            stack.append((tag, len(nodes) - 1))
+                push(tag, stack[-1][1])
+        else:
+            node = block(tag, attributes)
+            if tag not in VOID:
+                push(tag, node)
     flush()
     return nodes, blocks
 

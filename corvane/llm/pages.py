@@ -113,6 +113,12 @@ class Maker:
         before, after = [self.boilerplate() for _ in range(r.randint(0, 4))], [self.boilerplate() for _ in range(r.randint(0, 4))]
         last = [("footer", self.attrs(FOOT, 0.3), self.words(3, 14), 0)] if r.random() < 0.7 else []
         head = ("head", {}, [("title", {}, self.words(3, 12), 0), ("style", {}, "p{margin:0}", 0), ("script", {}, 'var t="</p>";', 0)], 0)
+        if r.random() < 0.12:
+            # An old layout: parts of the page are cells of a table.
+            _, names, inside, _ = main
+            cells = [("td", a, x, 0) for _, a, x, _ in [self.boilerplate() for _ in range(r.randint(1, 3))]]
+            cells.insert(r.randint(0, len(cells)), ("td", names or self.attrs(MAIN, 0.8), inside, 1))
+            main = ("table", {}, [("tr", {}, cells, 1)], 1)
         return ("html", {}, [head, ("body", {}, [*first, *before, main, *after, *last], 1)], 1)
 
 

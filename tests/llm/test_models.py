@@ -181,6 +181,89 @@ def test_extraction(spark):
     assert len(out) == 5
 
 
+# Pages made by hand, of no template that the model has seen.
+BY_HAND = [
+    ("""<!doctype html><html><head><title>Brücken im Wandel - Stadtblatt</title><style>p{color:red}</style></head><body>
+<div class="topbar"><a href="/">Home</a> <a href="/news">News</a> <a href="/shop">Shop</a></div>
+<div class="cookie-notice">We use cookies. <button>Accept</button></div>
+<article><h1>Old bridges learn to breathe</h1><p>The town has begun to restore its five oldest bridges, and the work will take three years.</p>
+<p>Masons cut the stone by hand, as <a href="/x">their forebears</a> did, and the river is kept low.</p>
+<blockquote>We never had so much to do, said one of them.</blockquote></article>
+<aside class="sidebar"><h3>Related</h3><ul><li><a href="/1">Ten best cafes</a></li><li><a href="/2">Weather</a></li></ul></aside>
+<section id="comments"><h3>2 comments</h3><div class="comment">First! great article thanks</div></section>
+<footer><p>Copyright 2024 Stadtblatt.</p></footer></body></html>""",
+     "Old bridges learn to breathe The town has begun to restore its five oldest bridges, and the work will take three years. "
+     "Masons cut the stone by hand, as their forebears did, and the river is kept low. We never had so much to do, said one of them."),
+    ("""<html><body><table><tr><td class="nav"><ul><li><a href=a>Index</a><li><a href=b>Archive</a></ul></td><td class="content"><h2>Keeping bees in winter</h2>
+<p>Bees do not sleep in winter. They form a dense cluster around the queen and shiver to keep warm.<p>Open the hive only on mild days, and never for longer than a minute.
+<td class="ads"><p>Buy honey now! <a href=c>Click here</a></td></tr></table><div class="footer">Contact | Imprint</div></body></html>""",
+     "Keeping bees in winter Bees do not sleep in winter. They form a dense cluster around the queen and shiver to keep warm. Open the hive only on mild days, and never for longer than a minute."),
+]
+
+
+@pytest.mark.parametrize("source,wanted", BY_HAND)
+def test_pages_of_other_templates(source, wanted):
+    assert htmltext.main_texts([source], htmltext.train()) == [wanted]
+
+
+def plain_extraction(source, model):
+    """The whole operator in small steps: marginals by summing over all states of the page's tree."""
+    nodes, blocks = htmltext.parse(source)
+    w, pair = model
+    u = [sum(w[i] for i in f) for f in htmltext.features(nodes)]
+    weight = {}
+    for state in range(1 << len(nodes)):
+        x = [(state >> k) & 1 for k in range(len(nodes))]
+        weight[tuple(x)] = sum(u[k] * x[k] for k in range(len(nodes))) + sum(pair[x[n.parent], x[k]] for k, n in enumerate(nodes) if n.parent >= 0)
+    most = max(weight.values())
+    weight = {x: np.exp(v - most) for x, v in weight.items()}
+    total = sum(weight.values())
+    return " ".join(t for k, t in blocks if sum(v for x, v in weight.items() if x[k]) / total >= 0.5)
+
+
+def test_extraction_against_enumeration():
+    model = htmltext.train()
+    word = lambda n: " ".join(WORD() for _ in range(n))
+    for k in range(12):
+        parts = [f"<p>{word(20)}", f"<nav><a href=x>{word(2)}</a></nav>", f"<div class=ads>{word(4)}</div>", f"<div class=comments><p>{word(9)}</div>", f"<h1>{word(3)} &amp; <br> x</h1>", f"<footer>{word(3)}</footer>", f"<article><p>{word(30)}</article>"]
+        R.shuffle(parts)
+        source = "<body>" + "".join(parts[: 3 + k % 5])
+        assert htmltext.main_texts([source], model) == [plain_extraction(source, model)]
+
+
+def test_tags_as_html_reads_them():
+    texts = lambda source: [t for _, t in htmltext.parse(source)[1]]
+    assert texts("<p data-x=it's>one</p>") == ["one"]
+    assert texts('<p title="abc>two <b>bold</b>') == ["two bold"]
+    assert texts('text <a href="x') == texts("text <a") == ["text"]
+    assert texts("<script src=/js/>var leak</script>after") == ["after"]
+    assert texts("<p>a</p><svg><path><p>b") == ["a", "b"]
+    assert texts("3 < 4 &am<b>p; &amp;lt;</b>") == ["3 < 4 &amp; &lt;"]
+    assert texts("<!--> c <!-- <p> --!> d <!--->e<!-- f") == ["c d e"]
+    assert texts("<title>a <b> &lt;</title><textarea><p>x</textarea>y") == ["a <b> <", "<p>x", "y"]
+    assert texts("</>q</ x>r<//>s<?php x>t<![CDATA[u]]><!doctype x>") == ["qrst"]
+    assert texts("<object><object>in</object>fall</object>out") == ["out"]
+    assert texts('<P CLASS=Main ID="Q>">z</P >') == ["z"] and htmltext.parse('<P CLASS=Main ID="Q>">z')[0][1].names == ["main", "q"]
+
+
+def test_any_page_takes_linear_time():
+    code = """
+from corvane.llm import htmltext
+for s in ['<a "' * 1250000, '<a "' * 250000 + ">", "<div>" * 50000 + "</b>" * 50000, "<b><div>" + "<i>" * 50000 + "</b>" * 50000, "<object>" * 90000, "<p x='" * 100000 + ">", "<" * 500000, "<!--" * 500000]:
+    htmltext.parse(s)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
+
+
+def test_repeated_and_empty_pages(spark):
+    rows = [(1, "u", "<p>" + "word " * 30, 5), (1, "u", "<p>" + "word " * 30, 5), (None, None, "<p>" + "word " * 30, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    out = htmltext.extract(df).collect()
+    assert [r["page_id"] for r in out].count(1) == 2 and {r["n_chars"] for r in out} == {149} and len(out) == 3
+    none = htmltext.extract(df.where("false"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_random_strings_beside_patterns():
     key = "wJalrXUtnFEMI7K7MDENG1bPxRfiCYzq81"
     spans = lambda t: [s[:3] for s in secrets.found(t)]
