@@ -5,7 +5,9 @@ is cut out of each run of key characters, and every part left of at least LEAST
 tokens of at most RATIO reports it, unless it is a known digest (hexadecimal of a usual digest length, with or without
 a prefix such as sha256-), a UUID, a number, or an identifier: parts of letters with short numbers, whose words have themselves a greater ratio.
 
-Spans count code points and exclude their end. Null text counts as empty. Rows repeat as they are in the input.
+Spans count code points and exclude their end. Every step is linear in the text, whatever its runs and hits. Null text
+counts as empty; a null doc_id stays null; rows repeat as they are in the input; an empty table gives an empty result.
+scan() ignores further columns, also if they are named like its outputs; redact() keeps them all.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def known(run: str, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> bool:
         return False
     # Only words of few tokens make an identifier; marks and numbers between them do not count.
     words = [w.lower() for w in WORD.findall(run)]
-    return not words or sum(map(len, words)) > ratio * sum(map(len, encoding(vocabulary).encode_ordinary_batch(words, num_threads=1)))
+    return not words or sum(map(len, words)) > ratio * sum(map(len, map(encoding(vocabulary).encode_ordinary, words)))
 
 
 def _merged(spans: list[tuple[int, str, int, int]]) -> list[tuple[int, int]]:

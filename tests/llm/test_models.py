@@ -5,6 +5,7 @@ import re
 import subprocess
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -273,6 +274,72 @@ def test_random_strings_beside_patterns():
     assert spans("0123456789abcdef/" + key + "/password=0123456789abcdef " + key) == [(0, "hex", 16), (17, "token", 51), (52, "assign", 77), (61, "hex", 77), (78, "token", 112)]
 
 
+def plain_found(text):
+    """Spans character by character: base spans by the contract, then what else of each run is a random string."""
+    spans = []
+    for kind, pattern, least in (("assign", secrets.ASSIGN, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)):
+        spans += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[2] if kind == "assign" else m[0]) >= least]
+    covered = {i for a, _, b in spans for i in range(a, b)}
+    key = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    runs, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in key:
+            end += 1
+        if end - at >= 20:
+            part = [i for i in range(at, end) if i not in covered]
+            for i in part:
+                if i - 1 in covered or i == at:
+                    j = i
+                    while j < end and j not in covered:
+                        j += 1
+                    runs.append((i, j))
+        at = end + 1
+    for a, b in runs:
+        while a < b and text[a] in "=/-_+":
+            a += 1
+        while a < b and text[b - 1] in "=/-_+":
+            b -= 1
+        run = text[a:b]
+        if len(run) >= 20 and not secrets.known(run) and len(run) <= 2.2 * len(secrets.encoding(secrets.VOCABULARY).encode_ordinary(run)):
+            spans.append((a, "token", b))
+    return sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[1])))
+
+
+def test_all_spans_against_a_plain_version(spark):
+    r = random.Random(12)
+    chars = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    part = lambda: r.choice([
+        chars(r.randint(10, 50), letters), chars(r.randint(10, 40), "0123456789abcdef"), "AKIA" + chars(r.randint(8, 20), "ABCDEFGHIJKLMNOP0123"), "Secret" + r.choice([":", " = '", "="]) + chars(r.randint(8, 20), letters),
+        "sha256-" + chars(64, "0123456789abcdef"), "01234567-89ab-cdef-0123-456789abcdef", "some_long_identifier_name_42", chars(24, "abcdefghijklmnopqrstuvwxyz"), "Ein Wörtchen", "donaudampfschifffahrtsgesellschaft1998b", "😀"])
+    texts = ["".join(part() + r.choice([" ", " ", "/", "-", "=", "\n", ""]) for _ in range(r.randint(0, 9))) for _ in range(600)]
+    found = [[s[:3] for s in secrets.found(t)] for t in texts]
+    assert found == [plain_found(t) for t in texts] and sum(s[1] == "token" for f in found for s in f) > 200
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)] + [(None, None, "x", 1), (3, texts[3], "y", 2)], "doc_id long, text string, spans string, n_hex long")
+    out = secrets.scan(df).collect()
+    joined = lambda f: ",".join(f"{k}:{a}:{b}" for a, k, b in f)
+    assert Counter((r["doc_id"], r["spans"]) for r in out) == Counter([*((k, joined(f)) for k, f in enumerate(found)), (None, ""), (3, joined(found[3]))])
+    assert secrets.scan(df.where("false")).count() == 0 and secrets.redact(df.where("false")).columns == df.columns
+
+
+def test_secrets_in_linear_time():
+    """Runs of a megabyte, a hundred thousand hits, long words with digits: in a process of its own."""
+    code = """
+import random
+from corvane.llm import secrets
+r = random.Random(1)
+rnd = lambda n, a: "".join(r.choice(a) for _ in range(n))
+k, x = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+assert secrets.found("siehe donaudampfschifffahrtsgesellschaft1998b heute " + "x" * 10000 + "1998b") == []
+for t in [rnd(10**6, k), "x" * 10**6, rnd(10**6, x), "a-" * 500000, "=" * 10**6, rnd(10**6, k[:26])]:
+    secrets.masked(t)
+assert len(secrets.found(" ".join(rnd(24, k) + "Z9q" for _ in range(100000)))) > 99000
+assert len(secrets.found("/".join(rnd(16, x) + "Z" for _ in range(100000)))) == 100000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=90, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
+
+
 def test_letters_are_no_identifier_as_such():
     for run in ("qzxkvjwpmrtyhgfdsbncqzxk", "kqzxv-wjpmr-tyhgf-dsbnc", "QZXKVJWPMRTYHGFDSBNCQZXK", "qzxkvjwpmrtyhgfdsbnc_1234"):
         assert [s[1:3] for s in secrets.found(f"a {run} b")] == [("token", 2 + len(run))]
