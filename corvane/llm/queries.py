@@ -32,6 +32,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op4_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = spark.createDataFrame(chat.TOOLS, "name string, parameters string")
+    return chat.format_chat(chat.with_tool_traffic(table(spark, sf_dir, "conversations")), tools)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2,
     "op3_ngram_jaccard_join": op3,
     "op4_chat_formatting": op4,
+    "op4_chat_tool_calls": op4_tools,
     "op5_document_fingerprints": op5,
     "op6_html_extraction": op6,
     "op7_decontamination": op7,
@@ -77,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Tokenizers, trained models, fingerprints and page trees have no SQL form.
-SQL: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.SQL, "op4_chat_formatting": chat.SQL, "op7_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.SQL, "op4_chat_formatting": chat.SQL, "op4_chat_tool_calls": chat.TOOL_SQL, "op7_decontamination": decontam.SQL}

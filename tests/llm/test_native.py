@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, syncmers
+from corvane.llm import chat, schemas, syncmers
 
 TEXTS = ["", None, "one", "a b c d", "a b c d e", "wörter über " * 50, "x" * 300, "😀 emoji 😀 text with surrogate 😀 pairs and more words here", " ".join(f"w{i % 37}" for i in range(400)), "one"]
 
@@ -135,3 +135,62 @@ def test_one_character_in_a_text_without_spaces(spark):
     assert len(sets[0]) > 500 and len(sets[0] ^ sets[1]) <= 12 and sets[2]
     pair = rows.where("k = 0").select(F.col("f").alias("x")).crossJoin(rows.where("k = 1").select(F.col("f").alias("y")))
     assert pair.select(syncmers.likeness(F.col("x"), F.col("y")).alias("s")).first()["s"] > 0.9
+
+
+SCHEMA_CASES = [
+    ({"type": ["integer", "null"]}, [1, None, 1.0], ["no", 1.5, True]),
+    ({"enum": [5, "a", None, True]}, [5, 5.0, "a", None, True], [1, "5", False, "A"]),
+    ({"const": {"b": [1], "a": 2}}, [{"a": 2, "b": [1]}], [{"a": 2}, 2]),
+    ({"type": "object", "properties": {"p": {"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}}}}, "additionalProperties": False}, [{}, {"p": {"q": "x"}}], [{"p": {}}, {"p": {"q": 1}}, {"z": 1}, [], None]),
+    ({"additionalProperties": {"type": "number"}, "properties": {"s": True}}, [{"s": "x", "n": 1}, 7], [{"n": "x"}]),
+    ({"type": "array", "items": {"type": "integer", "minimum": 1, "exclusiveMaximum": 9}, "minItems": 1, "maxItems": 3, "uniqueItems": True}, [[1], [1, 2, 8]], [[], [0], [9], [1, 1], [1, 2, 3, 4], {}]),
+    ({"type": "string", "minLength": 2, "maxLength": 3, "pattern": "^a"}, ["ab", "aé😀"], ["a", "abcd", "ba", 3]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 3}], "not": {"const": 4}}, ["x", 3, 5], [2, 4]),
+    ({"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}], "allOf": [{"type": "integer"}]}, [2, 9], [6, 5, "x"]),
+    ({"minProperties": 1, "maxProperties": 1, "required": ["a"]}, [{"a": None}], [{}, {"a": 1, "b": 2}, {"b": 1}]),
+    (True, [1, None], []),
+    (False, [], [1, None]),
+]
+
+
+def test_schemas(spark):
+    for schema, right, wrong in SCHEMA_CASES:
+        df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(right + wrong)], "k int, t string")
+        out = [r["ok"] for r in df.select("k", schemas.fits(schema, F.parse_json("t")).alias("ok")).orderBy("k").collect()]
+        assert out == [True] * len(right) + [False] * len(wrong), schema
+    for schema in ({"$ref": "#/x"}, {"properties": {"a": {"if": {}}}}, {"type": "int"}, 5):
+        with pytest.raises(ValueError):
+            schemas.fits(schema, F.parse_json(F.lit("{}")))
+
+
+def test_no_member_is_lost_and_arguments_may_be_text(spark):
+    call = {"reasoning": "why", "role": "other", "tool_calls": [{"type": "function", "id": "c", "name": "add", "arguments": json.dumps({"a": 1})}]}
+    result = {"tool_call_id": "c", "status": {"z": 1, "a": [None, "é "]}, "content": None}
+    twice = '{"content": 1, "content": 2, "tool_calls": []}'
+    rows = [(1, 0, "assistant", json.dumps(call)), (1, 1, "tool", json.dumps(result)), (1, 2, "assistant", twice)]
+    tools = spark.createDataFrame(TOOLS, "name string, parameters string")
+    out = {r["turn"]: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert out[0]["json"] == dump(call | {"role": "assistant", "content": None}) and out[0]["args_valid"] and out[0]["n_answered"] == 1
+    assert out[1]["json"] == dump(result | {"role": "tool"}) and out[2]["json"] == dump({"content": twice, "role": "assistant"})
+
+
+def test_one_conversation_with_most_rows(spark):
+    """Its rows, equal ones too, are spread over ranges; positions are whole."""
+    rows = [(1, k % 50, "user", "same") for k in range(3000)] + [(None, None, "user", "x")] * 500 + [(k, 0, "user", "y") for k in range(2, 300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    out = chat.format_chat(df).toPandas()
+    big = out[out.conv_id == 1].sort_values("position")
+    assert big.position.tolist() == list(range(3000)) and big.turn.is_monotonic_increasing
+    assert sorted(out[out.conv_id.isna()].position) == list(range(500)) and (out[out.conv_id > 1].position == 0).all()
+
+
+def test_tool_traffic_links_and_validates(spark):
+    rows = [(k, t, "assistant" if t % 2 else "user", "w" * (5 * k + t)) for k in range(12) for t in range(6)]
+    df = chat.with_tool_traffic(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat.format_chat(df, spark.createDataFrame(chat.TOOLS, "name string, parameters string")).collect()
+    linked = [r for r in out if r["role"] == "tool"]
+    assert linked and all(r["call_turn"] is not None for r in linked) and any(r["turn"] < r["call_turn"] for r in linked)
+    assert {r["args_valid"] for r in out} == {True, False, None} and {r["n_answered"] for r in out if r["n_calls"]} == {0, 1}
+    at = {(r["conv_id"], r["turn"], r["role"]): r["position"] for r in out}
+    assert all(at[r["conv_id"], r["call_turn"], "assistant"] < r["position"] for r in linked)
