@@ -7,9 +7,13 @@ and threshold, plus one. A document that contains the stated share of an item mu
 whatever the order of hashes: no document is missed. Every shingle of every document is looked up, and each candidate
 is verified by the exact share of the item's shingles in the document's set.
 
-Items are handled in blocks of a bounded number of characters, so what is broadcast never grows with the benchmark.
+Distinct item texts are handled in blocks of a bounded number of characters (one item may be longer), so what is
+broadcast never grows with the benchmark; each block is one pass over the documents.
+
 Words and shingles: see textkernel. Null texts count as empty; an item without words is in no document. An item of
-fewer than five words matches only a document of just these words. Rows repeated in either table are kept as rows.
+fewer than five words matches only a document of just these words. Rows repeated in either table, or with a null or
+repeated id, are kept as rows. An empty table on either side gives no matches, and clean() then keeps all documents.
+Further columns are ignored by matches(), also if they are named like outputs, and kept by clean().
 
 With folded, texts are also compared without letter case and without marks at the ends of words (textkernel.folded), and
 items of fewer than five words are found as runs of their own length anywhere in a document. This adds matches and takes
@@ -115,19 +119,39 @@ def indexes(texts: list[str | None], threshold: float, folded: bool) -> list[dic
     return [index(t, threshold) for t in both[: 1 + folded]]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, folded: bool = False) -> DataFrame:
-    """doc_id, item_id, n_common, n_item, containment: of each document and item at or above the threshold."""
+def _blocks(texts: DataFrame, block_chars: int) -> list[tuple[int, int]]:
+    """Ranges of buckets (of _bucket, 0 to n) whose distinct item texts have at most block_chars characters together; a
+    bucket beyond that, which holds an item of such a length, stands alone. The last pair is (n, n)."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1024, -(-16 * chars // block_chars))
+    sizes = {r["b"]: r["chars"] for r in texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(n)).alias("b")).agg(F.sum(F.length("text")).alias("chars")).collect()}
+    out, start, held = [], 0, 0
+    for b in sorted(sizes):
+        if held and held + sizes[b] > block_chars:
+            out.append((start, b))
+            start, held = b, 0
+        held += sizes[b]
+    return [*out, (start, n), (n, n)]
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, threshold: float, block_chars: int, folded: bool) -> Iterator:
+    """For each block of distinct item texts, a broadcast of its indexes and of the texts' keys."""
     spark = docs.sparkSession
     scratch.ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    texts = scratch.keep(benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct(), "items")
+    *blocks, (n, _) = _blocks(texts, block_chars)
+    for a, b in blocks:
+        bucket = F.pmod(F.xxhash64("text"), F.lit(n))
+        rows = texts.where((bucket >= a) & (bucket < b)).select("text", F.xxhash64("text", F.md5("text")).alias("key")).orderBy("key").toArrow()
+        yield spark.sparkContext.broadcast((indexes(rows.column("text").to_pylist(), threshold, folded), rows.column("key").to_pylist()))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, folded: bool = False) -> DataFrame:
+    """doc_id, item_id, n_common, n_item, containment: of each document and item at or above the threshold."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, item_id long, n_common long, n_item long, containment double"
+    kind = "doc_id long, key long, n_common long, n_item long, containment double"
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
-        shared = spark.sparkContext.broadcast((indexes(rows.column("text").to_pylist(), threshold, folded), rows.column("item_id").to_pylist()))
+    for shared in _shared(docs, benchmark, threshold, block_chars, folded):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tokens.forget()
@@ -138,18 +162,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                         d, i, c, n = map(np.array, zip(*(p + v for p, v in pairs.items())))
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(pa.array(d)), pa.array([names[x] for x in i], pa.int64()), pa.array(c), pa.array(n), pa.array(c / n)],
-                            names=["doc_id", "item_id", "n_common", "n_item", "containment"],
+                            names=["doc_id", "key", "n_common", "n_item", "containment"],
                         )
 
         part = texts.mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
-    return out
+    # Items with one text are searched for once; here each gets its row.
+    text = F.col("text").cast("string")
+    items = benchmark.where(text.isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text, F.md5(text)).alias("key"))
+    return out.join(items, "key").select("doc_id", "item_id", "n_common", "n_item", "containment")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, folded: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that contain no item; all columns as they were. Every row is judged by its own text, so null and
+    repeated doc_id do not matter, and nothing is shuffled."""
+    out = docs
+    for shared in _shared(docs, benchmark, threshold, block_chars, folded):
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
+            made, _ = shared.value
+            for batch in batches:
+                kept = np.ones(batch.num_rows, bool)
+                for pairs in found(made, batch.column(batch.schema.get_field_index("text")).cast(pa.string()), threshold):
+                    kept[[d for d, _ in pairs]] = False
+                yield batch.filter(pa.array(kept))
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, folded: bool = False) -> DataFrame:
-    """The rows of docs that contain no item; all columns as they were. Rows with a null doc_id are kept."""
-    spoiled = scratch.keep(matches(docs.where("doc_id is not null"), benchmark, threshold, folded=folded).select("doc_id").distinct(), "spoiled")
-    return docs.join(spoiled, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 SQL = f"""

@@ -232,4 +232,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     if capacity % quantum:
         raise ValueError("capacity must be a multiple of quantum")
     scratch.ship(docs.sparkSession)
-    return assign(scratch.keep(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity, quantum)
+    cut = pieces(docs, tokenizer, capacity, end_id, with_ids)
+    if not with_ids:
+        return assign(scratch.keep(cut, "pieces"), capacity, quantum)
+    # The plan is made without the ids, which then cross one shuffle to their rows, by numbers that the written table fixes.
+    cut = scratch.keep(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    return assign(cut.drop("ids"), capacity, quantum).join(cut.select("piece", "ids"), "piece").drop("piece")

@@ -10,7 +10,8 @@ depend on partitions); each sampled row counts with whole text. Every document i
 
 Null text counts as empty: no words, only the length class. Labels with null grade or id are ignored; a document with
 several labels counts once for each. Without labels, or with a single grade, every document has that grade (0 without
-labels) and is kept. Rows with null doc_id are scored too.
+labels) and is kept. Rows with null doc_id are scored too; rows that repeat are scored each; an empty table gives an empty
+result. select() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import scratch, textkernel, tokens
 
-MAX_TRAIN = 8000
+#: Labelled rows that the fit may see, and distinct features of each: 8 bytes apiece, 520 MB in all at most, on the driver.
+#: A longer text stands in the fit (never in a score) by a hashed choice of them.
+MAX_TRAIN, MAX_FEATURES = 8000, 8192
 BITS = 15
 LEAST_GRADE = 1
 KEEP_AT = 0.5
@@ -104,7 +107,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, rate:
     return model | {"w": p[:k], "cuts": p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))])}
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_train: int = MAX_TRAIN) -> dict:
+def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> dict:
+    """Weights, thresholds and grades."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     # At most max_train ids: a bounded side, so it may be broadcast.
     some = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_train)
@@ -119,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_train:
                 out: tuple[list, list] = ([], [])
                 for x, w in zip(np.split(ids, np.cumsum(counts)[:-1]), np.split(weight, np.cumsum(counts)[:-1])):
                     u, inverse = np.unique(x, return_inverse=True)
+                    u, w = textkernel.sketched(u, np.bincount(inverse, w, len(u)), max_features)
                     out[0].append(u.astype(np.int32))
-                    out[1].append(np.bincount(inverse, w).astype(np.float32))
+                    out[1].append(w.astype(np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float32()))], names=["doc_id", "grade", "ids", "weights"]
                 )

@@ -14,11 +14,13 @@ _made: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local (tests on one machine) a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane_"))
             held = spark.sparkContext.getCheckpointDir()
         at = held

@@ -157,6 +157,14 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.
     return mix(out), counts
 
 
+def sketched(ids: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many of a row's distinct features, chosen by a hash of their numbers, with the same weight in all."""
+    if len(ids) <= most:
+        return ids, weights
+    some = np.sort(np.argsort(mix(ids.astype(U) + U(1)), kind="stable")[:most])
+    return ids[some], weights[some] * (weights.sum() / max(weights[some].sum(), 1e-30))
+
+
 def batches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last text, shingle hashes, counts: of successive runs of texts."""
     buf, off = raw(texts)

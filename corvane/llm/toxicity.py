@@ -10,7 +10,9 @@ of doc_id; the classes' true shares, counted over all labels, correct the bias.
 never seen in training. Only the text enters a score.
 
 Null text counts as empty and, like any text without words, gets the score of the bias. Labels that are null are
-ignored. Without labels of both classes every score is the share of class 1 (0 without labels).
+ignored. Without labels of both classes every score is the share of class 1 (0 without labels). Rows that repeat are scored
+each; a null doc_id stays null, as does its held_out, and is scored; an empty table gives an empty result. Further columns
+are ignored, also if they are named like outputs.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import scratch, textkernel, tokens
 
-#: Labelled rows of class 0 and of class 1 that the fit may see.
-MAX_TRAIN = (4500, 2500)
+#: Labelled rows of class 0 and of class 1 that the fit may see, and distinct table rows of each: 8 bytes apiece, 460 MB
+#: in all at most, on the driver. A longer text stands in the fit (never in a score) by a hashed choice of them.
+MAX_TRAIN, MAX_FEATURES = (4500, 2500), 8192
 BITS, WIDTH, SCALE = 18, 6, 40.0
 GRAMS = (3, 4, 5)
 _LETTER = np.zeros(256, bool)
@@ -106,7 +109,8 @@ def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return textkernel.raw(pa.array([(t or "").lower() for t in textkernel.strings(texts)], pa.string()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
+    """What each row of the table adds to the log odds, and the bias."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -123,8 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: t
                 got: tuple[list, list] = ([], [])
                 for x, w in zip(np.split(ids, np.cumsum(counts)[:-1]), np.split(weight, np.cumsum(counts)[:-1])):
                     u, inverse = np.unique(x, return_inverse=True)
+                    u, w = textkernel.sketched(u, np.bincount(inverse, w, len(u)), max_features)
                     got[0].append(u.astype(np.uint32).tobytes())
-                    got[1].append(np.bincount(inverse, w, len(u)).astype(np.float32).tobytes())
+                    got[1].append(w.astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], names=["doc_id", "y", "ids", "weights"])
 
     rows = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, weights binary").toArrow()

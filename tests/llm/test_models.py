@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corvane.llm import htmltext, pages, quality, secrets, toxicity
+from corvane.llm import htmltext, pages, quality, secrets, textkernel, toxicity
 
 R = random.Random(2)
 WORD = lambda: "".join(R.choice("aeiourtnsl") for _ in range(R.randint(2, 8)))
@@ -44,6 +44,13 @@ def test_quality_learns_graded_ratings(spark):
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} == {k for k, r in out.items() if r["keep"]}
 
 
+def test_long_rows_of_a_fit_are_bounded():
+    ids, w = np.arange(0, 50_000, 5), np.linspace(1, 2, 10_000)
+    some, kept = textkernel.sketched(ids, w, 4096)
+    assert len(some) == 4096 and set(some) <= set(ids) and (np.diff(some) > 0).all() and kept.sum() == pytest.approx(w.sum())
+    assert textkernel.sketched(ids, w, 10_000)[0] is ids
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x " * 40000), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -182,6 +182,22 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert decontam.matches(docs, bench.where("false")).count() == 0 and decontam.clean(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_odd_rows(spark, texts):
+    """Null and repeated ids on both sides, repeated and long items, clashing names, empty tables."""
+    item, other = " ".join(texts[10].split()[:25]), " ".join(texts[12].split()[:9])
+    rows = [(None, f"x {item} y", 1), (1, f"x {item} y", 2), (1, "clean text of some words here", 3), (1, "clean text of some words here", 3), (None, None, 4), (2, other * 1, 5), (None, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    items = [(7, item), (7, item), (8, item), (None, other), (9, None), (9, ""), (10, " ".join(f"long{k}" for k in range(4000)))]
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, n_common long")
+    for chars in (decontam.BLOCK_CHARS, 100):
+        found = Counter((r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench, block_chars=chars).collect())
+        assert found == Counter([(i, k) for i in (None, 1) for k in (7, 7, 8)] + [(2, None)])
+        kept = decontam.clean(docs, bench, block_chars=chars)
+        assert kept.schema == docs.schema and sorted(r["item_id"] for r in kept.collect()) == [3, 3, 4, 6]
+    assert decontam.matches(docs, bench.where("false")).count() == 0 and decontam.clean(docs, bench.where("false")).count() == len(rows)
+    assert decontam.matches(docs.where("false"), bench).count() == 0
+
+
 def test_folded_decontamination(spark):
     item = "The quick brown fox jumps over the lazy dog near the old stone bridge in Weißdorf"
     rows = [f"before {item.upper()} after", "x " + " ".join(f"«{w}»," for w in item.split()) + " y", f"so — {item}", "it says: Forty Two! again", "forty and two", "a \u3000“FORTY\u00a0two…”", None, "!!"]
