@@ -127,13 +127,13 @@ def format_chat(messages: DataFrame, tools: DataFrame | None = None) -> DataFram
     return numbered.select("conv_id", "turn", F.col("position").cast("long").alias("position"), "role", "n_calls", "n_answered", "args_valid", call_turn.cast("long").alias("call_turn"), json.alias("json"))
 
 
-#: What op4_chat_tool_calls makes of the conversations: each assistant's message calls a tool, most calls have a result,
+#: What chat_tool_calls makes of the conversations: each assistant's message calls a tool, most calls have a result,
 #: half of these stand before their call. The same rule stands in TOOL_SQL.
 TOOLS = [("lookup", '{"type": "object", "required": ["limit", "query"], "additionalProperties": false, "properties": {"limit": {"type": "integer", "minimum": 1, "maximum": 10}, "mode": {"enum": ["fast", "exact"]}, "query": {"type": "string", "minLength": 1}}}')]
 
 
 def with_tool_traffic(messages: DataFrame) -> DataFrame:
-    """Conversations in which assistants call tools, derived row by row: the input of op4_chat_tool_calls."""
+    """Conversations in which assistants call tools, derived row by row: the input of chat_tool_calls."""
     n, call = F.length("text"), F.concat(F.lit("call_"), F.col("turn").cast("string"))
     arguments = F.struct(F.col("text").alias("query"), F.element_at(F.array(F.lit("fast"), F.lit("exact"), F.lit("odd")), (n % 3 + 1).cast("int")).alias("mode"), (n % 12).cast("long").alias("limit"))
     one = F.struct(F.when(F.col("turn") % 5 == 4, "unknown").otherwise("lookup").alias("name"), call.alias("id"), arguments.alias("arguments"))

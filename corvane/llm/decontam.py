@@ -18,7 +18,7 @@ Further columns are ignored by matches(), also if they are named like outputs, a
 With folded, texts are also compared without letter case and without marks at the ends of words (textkernel.folded), and
 items of fewer than five words are found as runs of their own length anywhere in a document. This adds matches and takes
 none away; counts of a pair are of the words as they stand if these alone make it a match. The SQL knows plain words
-only, so op7_decontamination, which it defines, is not folded; op7_decontamination_folded and the pipeline are.
+only, so op7_decontamination, which it defines, is not folded; decontamination_folded and the pipeline are.
 """
 
 from __future__ import annotations

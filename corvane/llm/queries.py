@@ -72,15 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2,
     "op3_ngram_jaccard_join": op3,
     "op4_chat_formatting": op4,
-    "op4_chat_tool_calls": op4_tools,
     "op5_document_fingerprints": op5,
     "op6_html_extraction": op6,
     "op7_decontamination": op7,
-    "op7_decontamination_folded": op7_folded,
     "op8_quality": op8,
     "op9_toxicity": op9,
     "op10_secret_scan": op10,
 }
 
+#: Further uses of two operators: on tool traffic derived from the conversations, and whatever a passage's case and marks.
+FURTHER: dict[str, Callable[[SparkSession, str], DataFrame]] = {"chat_tool_calls": op4_tools, "decontamination_folded": op7_folded}
+
 #: Tokenizers, trained models, fingerprints and page trees have no SQL form.
-SQL: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.SQL, "op4_chat_formatting": chat.SQL, "op4_chat_tool_calls": chat.TOOL_SQL, "op7_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.SQL, "op4_chat_formatting": chat.SQL, "chat_tool_calls": chat.TOOL_SQL, "op7_decontamination": decontam.SQL}
