@@ -256,7 +256,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     light = _blocks(members.join(buckets, "node").withColumnRenamed("bucket", "unit"), sizes, False, block, block_bytes)
     dense = _blocks(groups.select(F.col("root").alias("unit"), "node"), sizes, True, block, block_bytes).withColumns({"place": F.lit(-1).cast("long"), "buckets": F.array().cast("array<long>")})
     placed = scratch.keep(light.unionByName(dense), "placed")
-    wanted = placed.select("node").distinct().join(texts.select("node", "key", "copies"), "node")
+    wanted = scratch.keep(placed.select("node").distinct().join(texts.select("node", "key", "copies"), "node"), "wanted")
     found = docs.select(_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key").groupBy("node").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
     # A text goes to the pair of its block with each block of its unit.
     dealt = placed.join(found, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
