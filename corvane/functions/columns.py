@@ -124,7 +124,11 @@ def aggregate(function: str, c: Column | None, kind: str | None) -> tuple[Column
     total = F.sum(c.cast("decimal(38,0)"))
     if function == "sum":
         return total, "WIDE"
-    return F.round(total.cast("decimal(20,0)") / F.count(c).cast("decimal(18,0)"), 15), "FLOAT"
+    # Quotient and remainder apart, so that no digit of a large sum is lost: 15 fraction digits, 6 for a WIDE column.
+    n = F.nullif(F.count(c), F.lit(0)).cast("decimal(18,0)")
+    rest = total % n
+    whole = ((total - rest) / n).cast("decimal(32,0)" if kind == "WIDE" else "decimal(20,0)")
+    return (whole + F.round(rest / n, 6 if kind == "WIDE" else 15)).cast("decimal(38,6)" if kind == "WIDE" else "decimal(36,15)"), "FLOAT"
 
 
 def order(c: Column, descending: bool) -> Column:

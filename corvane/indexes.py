@@ -11,8 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .errors import CorvaneError, UniqueViolation
-from .sources.kv import Batch, KeyValue
+from .errors import CorvaneError, SerializationFailure, UniqueViolation
+from .sources.kv import Batch, KeyValue, meets
 
 
 def field(name: str) -> Column:
@@ -65,26 +65,34 @@ class IndexManager:
             raise CorvaneError(f"index {name} does not exist")
         return entry
 
-    def documents(self, collection: str) -> DataFrame:
+    def documents(self, collection: str, version: int | None = None) -> DataFrame:
         """pk, key, value of a collection."""
         head = f"{collection}:"
-        return self.kv.frame(prefix=head).select(F.expr(f"substring(key, {len(head) + 1})").alias("pk"), "key", "value")
+        return self.kv.frame(version=version, prefix=head).select(F.expr(f"substring(key, {len(head) + 1})").alias("pk"), "key", "value")
 
-    def indexed(self, name: str) -> DataFrame:
+    def indexed(self, name: str, version: int | None = None) -> DataFrame:
         entry = self._entry(name)
-        df = self.documents(entry["collection"])
+        df = self.documents(entry["collection"], version)
         for f in entry["fields"]:
             df = df.where(field(f).isNotNull())
         return df
 
     def put_document(self, collection: str, pk: str, doc: dict) -> None:
-        """Writes a document after the check of unique indexes."""
-        for name, entry in self._meta().items():
-            if entry["collection"] == collection and entry["unique"] and all(f in doc for f in entry["fields"]):
-                others = [p for p in self.lookup(name, [doc[f] for f in entry["fields"]]) if p != pk]
-                if others:
-                    raise UniqueViolation(f"unique index {name} already has these values, in document {others[0]}")
-        self.kv.write_batch(Batch().put(f"{collection}:{pk}", json.dumps(doc)))
+        """Writes a document after the check of unique indexes; both hold for one version, or both are done again."""
+        while True:
+            base, unique = self.store.latest(), False
+            for name, entry in self._meta().items():
+                if entry["collection"] == collection and entry["unique"] and all(f in doc for f in entry["fields"]):
+                    unique = True
+                    others = [p for p in self.lookup(name, [doc[f] for f in entry["fields"]], base) if p != pk]
+                    if others:
+                        raise UniqueViolation(f"unique index {name} already has these values, in document {others[0]}")
+            head = f"{collection}:"
+            try:
+                self.kv.write_batch(Batch().put(head + pk, json.dumps(doc)), base, meets(self.kv.namespace, head, head + "\U0010ffff") if unique else None)
+                return
+            except SerializationFailure:
+                continue
 
     def remove_document(self, collection: str, pk: str) -> None:
         self.kv.delete(f"{collection}:{pk}")
@@ -94,12 +102,12 @@ class IndexManager:
             df = df.where(F.schema_of_variant(field(f)).rlike("^(" + "|".join(_kind(v)) + ")") & (_typed(f, v) == F.lit(v)))
         return df
 
-    def lookup(self, name: str, values: list) -> list[str]:
+    def lookup(self, name: str, values: list, version: int | None = None) -> list[str]:
         """Keys of documents with exactly these field values."""
         entry = self._entry(name)
         if len(values) != len(entry["fields"]):
             raise CorvaneError(f"index {name} has {len(entry['fields'])} fields")
-        return sorted(r["pk"] for r in self.matching(self.indexed(name), entry["fields"], values).select("pk").toLocalIterator())
+        return sorted(r["pk"] for r in self.matching(self.indexed(name, version), entry["fields"], values).select("pk").toLocalIterator())
 
     def range_frame(self, name: str, low, high) -> DataFrame:
         """pk and v, the one field's value, of documents with it from low to high, both included."""

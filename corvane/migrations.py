@@ -16,9 +16,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .errors import CorvaneError
+from .errors import CorvaneError, SerializationFailure
 from .indexes import IndexManager
-from .sources.kv import KeyValue
+from .sources.kv import KeyValue, meets
 
 
 @dataclass(frozen=True)
@@ -159,5 +159,17 @@ class Migrator:
             if s.name in indexes.list():
                 indexes.drop_index(s.name)
         else:
-            rows = self.kv.frame(prefix=f"{s.collection}:").withColumn("new", _rewrite(s)("value")).where("new is not null")
-            self.kv.append(rows.select(F.lit(self.kv.namespace).alias("namespace"), "key", F.col("new").alias("value"), F.lit(0).cast("long").alias("seq"), "expiry", F.lit(False).alias("deleted")))
+            self._documents(s)
+
+    def _documents(self, s) -> None:
+        """Rewrites a collection as it is at one version; if a document is written meanwhile, all is done again."""
+        head = f"{s.collection}:"
+        while True:
+            base = self.kv.store.latest()
+            rows = self.kv.frame(version=base, prefix=head).withColumn("new", _rewrite(s)("value")).where("new is not null")
+            changed = rows.select(F.lit(self.kv.namespace).alias("namespace"), "key", F.col("new").alias("value"), F.lit(0).cast("long").alias("seq"), "expiry", F.lit(False).alias("deleted"))
+            try:
+                self.kv.append(changed, None, base, meets(self.kv.namespace, head, head + "\U0010ffff"))
+                return
+            except SerializationFailure:
+                continue

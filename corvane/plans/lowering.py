@@ -142,11 +142,12 @@ class Lowering:
 
         self.check(s, scope)
         df = self.filter(df, s.where, look)
-        tie = [F.col(k.internal).cast("string").asc_nulls_last() for k in scope.keys if k]
+        keys_text = [F.col(k.internal).cast("string") for k in scope.keys if k]
+        tie = [C.order(k, False) for k in keys_text]
         grouped = bool(s.group) or self.aggregates(s)
         if grouped:
             df, places = self.aggregate(df, s, scope)
-            tie = []
+            tie = keys_text = []
         else:
             places = {("column", b.table, b.name): (b.internal, b.kind) for b in scope.columns}
 
@@ -167,7 +168,7 @@ class Lowering:
             if isinstance(item, a.Ranking) and item not in made:
                 key, by = place(item.order)[0], [place(p)[0] for p in item.partition]
                 made[item] = f"w{len(made)}"
-                ties = tie or [F.col(c).cast("string").asc_nulls_last() for c in df.columns if c[0] in "gp"]
+                ties = keys_text or [F.col(c).cast("string") for c in df.columns if c[0] in "gp"]
                 if by:
                     df = ranking.partitioned_rank(df, item.function, by, key, item.descending, ties, made[item])
                 else:

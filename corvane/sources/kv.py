@@ -14,10 +14,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CorvaneError, InvalidValue
+from ..errors import CorvaneError, InvalidValue, SerializationFailure
 from .store import Manifest, Store
 
 SCHEMA = "namespace string, key string, value string, seq long, expiry long, deleted boolean"
+#: Batches after which they are folded to one sorted folder, and such folders after which the whole log is.
+FOLD_BATCHES, FOLD_FOLDERS = 32, 8
 # Limits of a batch.
 MAX_OPS, MAX_VALUE = 10_000, 10 * 1024 * 1024
 SCAN_DEFAULT, SCAN_MAX = 1000, 10_000
@@ -34,6 +36,21 @@ def newest(log: DataFrame, seq: int | None = None, now: int | None = None, names
     return picked.where(alive).select(*keys, "r.value", "r.seq", "r.expiry")
 
 
+class _Outpaced(CorvaneError):
+    """Another writer has folded the same folders."""
+
+
+def meets(namespace: str, low: str | None = None, high: str | None = None):
+    """A check for commits: they fail if one since their base wrote a key of the namespace from low up to high."""
+
+    def check(m: Manifest) -> None:
+        keys = m.wrote.get("kv", {}).get(namespace, ())
+        if keys is None or any((low is None or k >= low) and (high is None or k <= high) for k in keys):
+            raise SerializationFailure(f"could not serialize access: namespace {namespace!r} changed in version {m.version}")
+
+    return check
+
+
 class Batch:
     """Puts and deletes that become visible together; the last operation on a key counts."""
 
@@ -70,15 +87,16 @@ class KeyValue:
 
     # Reads.
 
-    def log(self, version: int | None = None) -> DataFrame:
+    def log(self, version: int | None = None, folders: list[dict] | None = None) -> DataFrame:
         """All rows of a version. A batch's rows carry seq 0 on disk: its sequence number stands in the manifest, as only
         the commit knows it, and is looked up by the folder's name."""
-        m, spark = self.store.manifest(version), self.store.spark
-        if not m.kv:
+        spark = self.store.spark
+        folders = self.store.manifest(version).kv if folders is None else folders
+        if not folders:
             return spark.createDataFrame([], SCHEMA)
-        rows = spark.read.schema(SCHEMA).parquet(*[f"{self.store.root}/{s['path']}" for s in m.kv])
-        # One entry for each folder, as many as the paths of the scan itself.
-        known = F.create_map(*[x for s in m.kv if s["seq"] is not None for x in (F.lit(s["path"].split("/")[-1]), F.lit(s["seq"]))]) if any(s["seq"] is not None for s in m.kv) else None
+        rows = spark.read.schema(SCHEMA).parquet(*[f"{self.store.root}/{s['path']}" for s in folders])
+        # One entry for each batch not folded yet, a bounded number.
+        known = F.create_map(*[x for s in folders if s["seq"] is not None for x in (F.lit(s["path"].split("/")[-1]), F.lit(s["seq"]))]) if any(s["seq"] is not None for s in folders) else None
         if known is None:
             return rows
         folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
@@ -130,6 +148,22 @@ class KeyValue:
     def delete(self, key: str) -> int:
         return self.write_batch(Batch().delete(key))
 
+    def delete_range(self, low: str, high: str) -> int:
+        """Deletes the keys from low to high, both included, in one commit, and says how many there were. The keys stay on
+        the executors; if another commit writes to the range meanwhile, it is looked up again."""
+        while True:
+            base = self.store.latest()
+            found = self.frame(low, high, base, inclusive=True)
+            n = found.count()
+            if not n:
+                return 0
+            gone = found.select(F.lit(self.namespace).alias("namespace"), "key", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("expiry"), F.lit(True).alias("deleted"))
+            try:
+                self.append(gone, None, base, meets(self.namespace, low, high))
+                return n
+            except SerializationFailure:
+                continue
+
     def write_batch(self, batch: Batch, base: int | None = None, check=None) -> int:
         """The batch's sequence number."""
         if not batch.ops:
@@ -146,19 +180,37 @@ class KeyValue:
         def change(m: Manifest) -> None:
             m.kv.append(segment | {"seq": m.version})
 
-        return self.store.commit(base, change, wrote, check)
-
-    def compact(self) -> int:
-        """One folder of newest rows, without deleted and expired keys, for all namespaces."""
+        version = self.store.commit(base, change, wrote, check)
+        self._fold(version)
+        return version
+
+    def _fold(self, version: int) -> None:
+        """Keeps the log short by itself. What another writer folds at the same time is left to it."""
+        folders = self.store.manifest(version).kv
+        try:
+            if sum(s["seq"] is None for s in folders) >= FOLD_FOLDERS:
+                self.compact()
+            elif sum(s["seq"] is not None for s in folders) >= FOLD_BATCHES:
+                self.compact(batches_only=True)
+        except _Outpaced:
+            pass
+
+    def compact(self, batches_only: bool = False) -> int:
+        """One sorted folder for all namespaces: of the whole log its newest rows, without deleted and expired keys; or of
+        the batches alone their newest rows, where deletions stay, as they hide rows of older folders."""
         base = self.store.latest()
-        before = self.store.manifest(base).kv
-        rows = newest(self.log(base))
-        segment = self.store.write(rows.select("namespace", "key", "value", "seq", "expiry", F.lit(False).alias("deleted")).repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key"), "kv")
+        before = [s for s in self.store.manifest(base).kv if s["seq"] is not None or not batches_only]
+        if batches_only:
+            picked = self.log(base, before).groupBy("namespace", "key").agg(F.max_by(F.struct("value", "seq", "expiry", "deleted"), "seq").alias("r"))
+            rows = picked.select("namespace", "key", "r.value", "r.seq", "r.expiry", "r.deleted")
+        else:
+            rows = newest(self.log(base)).select("namespace", "key", "value", "seq", "expiry", F.lit(False).alias("deleted"))
+        segment = self.store.write(rows.repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key"), "kv")
 
         def change(m: Manifest) -> None:
-            if m.kv[: len(before)] != before:
-                raise CorvaneError("the log was compacted by another writer")
-            m.kv = [segment | {"seq": None}, *m.kv[len(before) :]]
+            if any(s not in m.kv for s in before):
+                raise _Outpaced("the log was compacted by another writer")
+            m.kv = [*(s for s in m.kv if s["seq"] is None and s not in before), segment | {"seq": None}, *(s for s in m.kv if s["seq"] is not None and s not in before)]
 
         return self.store.commit(base, change, {})
 
@@ -181,8 +233,8 @@ class Snapshot:
     """A pinned version: reads repeat, and garbage collection keeps it until close()."""
 
     def __init__(self, kv: KeyValue):
-        self.kv, self.version = kv, kv.store.latest()
-        self.pinned = kv.store.pin(self.version)
+        self.kv = kv
+        self.version, self.pinned = kv.store.pin_latest()
 
     def get(self, key: str) -> str | None:
         return self.kv.get(key, self.version)

@@ -25,6 +25,8 @@ from .files import Files
 DELETED = "_deleted"
 #: Change segments of a table after which a commit folds it.
 FOLD_AFTER = 8
+#: Seconds for which files that nothing names are kept: a running commit may be about to name them.
+SAFE_AGE_S = 6 * 3600.0
 _LOCK = threading.RLock()
 
 
@@ -146,19 +148,28 @@ class Store:
         self.pins[name] = version
         return name
 
+    def pin_latest(self) -> tuple[int, str]:
+        """The newest version and its pin; a version that was collected before the pin stood is tried again."""
+        while True:
+            version = self.latest()
+            pinned = self.pin(version)
+            if self.files.exists(self._name(version)):
+                return version, pinned
+            self.unpin(pinned)
+
     def unpin(self, name: str) -> None:
         self.pins.pop(name, None)
         self.files.delete(name)
 
-    def collect_garbage(self, keep_versions: int = 1, older_than_s: float = 0) -> int:
+    def collect_garbage(self, keep_versions: int = 1, older_than_s: float = SAFE_AGE_S) -> int:
         """Deletes manifests below the newest few and the pinned ones, then data folders that no manifest names.
 
-        older_than_s keeps folders that a running commit may still be about to name.
+        Nothing younger than older_than_s goes: a running commit may be about to name a folder, a snapshot to pin a version.
         """
         newest = self.latest()
         pinned = {int(self.files.read(f"pins/{n}")) for n in self.files.list("pins")}
         versions = [int(n[:-5]) for n in self.files.list("manifests") if n.endswith(".json")]
-        live = {v for v in versions if v > newest - keep_versions or v in pinned}
+        live = {v for v in versions if v > newest - keep_versions or v in pinned or (older_than_s > 0 and self.files.age(self._name(v)) < older_than_s)}
         named = set()
         for v in live:
             m = self.manifest(v)
