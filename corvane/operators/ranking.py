@@ -8,62 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order
+from ..sources import workspace
 
-#: Values that cut the order into ranges; their number bounds what meets in one task.
-CUTS = 1023
-
-
-def _before(x: Column, y: Column, descending: bool) -> Column:
-    """x stands strictly before y, NULL as the greatest value; never NULL itself."""
-    if descending:
-        return F.when(x.isNull(), y.isNotNull()).when(y.isNull(), F.lit(False)).otherwise(x > y)
-    return F.when(y.isNull(), x.isNotNull()).when(x.isNull(), F.lit(False)).otherwise(x < y)
-
-
-def _up_to(x: Column, y: Column, directions: list[bool]) -> Column:
-    """x, a struct, stands before y or equals it."""
-    fields = [(x[f"_k{i}"], y[f"_k{i}"], d) for i, d in enumerate(directions)]
-    return reduce(lambda rest, f: _before(*f) | (f[0].eqNullSafe(f[1]) & rest), reversed(fields), F.lit(True))
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _range(cuts: Column, row: Column, directions: list[bool]) -> Column:
-    """How many of the sorted cuts stand up to the row, by a binary search."""
-
-    def further(step: int):
-        return lambda x: F.when((x + step <= F.size(cuts)) & _up_to(F.get(cuts, x + (step - 1)), row, directions), x + step).otherwise(x)
-
-    low, step = F.lit(0), (CUTS + 1) // 2
-    while step:
-        low, step = _let(low, further(step)), step // 2
-    return low
+#: Bits of a row's number within its range in monotonically_increasing_id().
+_LOCAL = 33
 
 
 def global_rank(df: DataFrame, function: str, key: str, descending: bool, ties: list[Column], out: str) -> DataFrame:
     """df with a ranking by one column and no partition.
 
-    Rows are counted for each distinct value (for ROW_NUMBER: value and ties) before they move. The CUTS values with the
-    least hashes, a fair sample that needs no pass of its own on the driver, cut the order into ranges; the ranges' totals
-    meet in one small window, and each range numbers its own values. The sums are joined back by value (NULL is a value).
+    Rows are counted for each distinct value (for ROW_NUMBER: value and ties) before they move. The counts are sorted over
+    ranges of values and written, when the plan is made, to the session's workspace: ranges would differ if they were cut
+    again. One total a range comes to the driver; each range numbers its own values. The sums are joined back by value
+    (NULL is a value).
     """
+    spark = df.sparkSession
     by = [F.col(key), *(ties if function == "row_number" else [])]
-    directions = [descending] + [False] * (len(by) - 1)
     names = [f"_k{i}" for i in range(len(by))]
+    directions = [order(F.col(n), descending and i == 0) for i, n in enumerate(names)]
     counts = df.groupBy(*[c.alias(n) for c, n in zip(by, names)]).agg(F.count(F.lit(1)).alias("_n"))
-    row = F.struct(*names)
-    sample = counts.orderBy(F.xxhash64(*names), *names).limit(CUTS).agg(F.collect_list(row).alias("_cuts"))
-    compared = F.array_sort("_cuts", lambda x, y: F.when(~_up_to(x, y, directions), 1).when(~_up_to(y, x, directions), -1).otherwise(0))
-    # One row of CUTS values.
-    ranged = counts.crossJoin(F.broadcast(sample.select(compared.alias("_cuts")))).withColumn("_range", _range(F.col("_cuts"), row, directions)).drop("_cuts")
-    size = F.count(F.lit(1)) if function == "dense_rank" else F.sum("_n")
-    totals = ranged.groupBy("_range").agg(size.alias("_total"))
-    begin = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
-    along = Window.partitionBy("_range").orderBy(*[order(F.col(n), d) for n, d in zip(names, directions)])
-    inside = F.row_number().over(along) - 1 if function == "dense_rank" else F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = ranged.withColumn("_inside", inside).join(begin, "_range").select(*names, (F.col("_begin") + F.col("_inside") + 1).cast("long").alias("_base"))
+    ranged = counts.repartitionByRange(*directions).sortWithinPartitions(*directions).withColumn("_m", F.monotonically_increasing_id())
+    at = workspace.folder(spark)
+    ranged.write.parquet(at)
+    ranged = spark.read.schema(ranged.schema).parquet(at).withColumn("_range", F.shiftright("_m", _LOCAL))
+    total = F.count(F.lit(1)) if function == "dense_rank" else F.sum("_n")
+    begin, before = [], 0
+    for r in sorted(ranged.groupBy("_range").agg(total.alias("total")).collect()):
+        begin.append((r["_range"], before))
+        before += r["total"]
+    begun = F.broadcast(spark.createDataFrame(begin, "_range long, _begin long"))
+    along = Window.partitionBy("_range").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.col("_m").bitwiseAND((1 << _LOCAL) - 1) if function == "dense_rank" else F.coalesce(F.sum("_n").over(along), F.lit(0))
+    base = ranged.withColumn("_inside", inside).join(begun, "_range").select(*names, (F.col("_begin") + F.col("_inside") + 1).cast("long").alias("_base"))
     joined = df.join(base, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for c, n in zip(by, names)]))
     if function == "row_number":
         # Rows equal in value and ties, of which a table with a primary key has none, are numbered in any order.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .indexes import IndexManager
+from .migrations import AddField, Migration, Migrator, RenameField
 from .plans.parser import Parser
 from .prepared import QueryEngine
 from .replay import checksum, load, verify
@@ -88,6 +89,10 @@ dialect("win_rank", "SELECT s_suppkey, RANK() OVER (ORDER BY s_nationkey) FROM s
 dialect("win_dense_rank", f"SELECT documents.doc_id, DENSE_RANK() OVER (ORDER BY quality DESC) FROM {_OUTER}", "SELECT documents.doc_id, dense_rank() OVER (ORDER BY quality DESC NULLS FIRST) AS dense_rank FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
 dialect("win_multi_order", "SELECT s_suppkey, RANK() OVER (ORDER BY s_acctbal DESC), DENSE_RANK() OVER (ORDER BY s_nationkey) FROM supplier", "SELECT s_suppkey, rank() OVER (ORDER BY s_acctbal DESC NULLS FIRST) AS rank, dense_rank() OVER (ORDER BY s_nationkey NULLS LAST) AS dense_rank FROM supplier")
 dialect("win_over_join", "SELECT o_orderkey, RANK() OVER (ORDER BY c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000", "SELECT o_orderkey, rank() OVER (ORDER BY c_nationkey NULLS LAST) AS rank FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
+# Orders by nearly as many values as rows, which no task may see alone.
+dialect("win_rank_unique", "SELECT o_orderkey, RANK() OVER (ORDER BY o_totalprice) FROM orders", "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice NULLS LAST) AS rank FROM orders")
+dialect("win_dense_rank_unique", "SELECT o_orderkey, DENSE_RANK() OVER (ORDER BY o_totalprice DESC) FROM orders", "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_totalprice DESC NULLS FIRST) AS dense_rank FROM orders")
+dialect("win_row_number_orders", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderstatus DESC) FROM orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR)) AS row_number FROM orders")
 dialect("win_partitioned", "SELECT c_custkey, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) FROM customer", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS FIRST, CAST(c_custkey AS VARCHAR)) AS row_number FROM customer")
 
 # Order and limit.
@@ -173,6 +178,73 @@ def kv_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(log, namespace=False).select("key", "seq")
 
 
+# The same through a store: batches are written, read at versions, expire, are deleted and folded.
+def _batches(spark: SparkSession, sf_dir: str, n: int = 4) -> tuple[Session, list[int]]:
+    """Each user's newest event of each batch; batch b holds the events with event_id % n = b. The versions of the batches."""
+    s, e, out = session(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet"), []
+    for b in range(n):
+        mine = e.where(F.col("event_id") % n == b).groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max_by(F.struct("props", "event_id"), "event_id").alias("r"))
+        # Of the last batch's keys, those of every third event have expired long ago.
+        expiry = F.when((F.col("r.event_id") % 3 == 1) & F.lit(b == n - 1), 1).otherwise(0).cast("long")
+        out.append(s.kv("users").append(mine.select(F.lit("users").alias("namespace"), "key", F.col("r.props").alias("value"), F.lit(0).cast("long").alias("seq"), expiry.alias("expiry"), F.lit(False).alias("deleted"))))
+    return s, out
+
+
+_USERS = "(SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id % 4 * 1000000000000 + event_id) AS value, max(event_id % 4 * 1000000000000 + event_id) AS v FROM events {where} GROUP BY user_id)"
+_ALIVE = " WHERE NOT (v >= 3000000000000 AND v % 1000000000000 % 3 = 1)"
+
+
+@kv("kv_store_newest", f"SELECT key, value FROM {_USERS.format(where='')}{_ALIVE}")
+def kv_store_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir)[0].kv("users").frame().select("key", "value")
+
+
+@kv("kv_store_at_version", f"SELECT key, value FROM {_USERS.format(where='WHERE event_id % 4 < 2')}")
+def kv_store_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, versions = _batches(spark, sf_dir)
+    return s.kv("users").frame(version=versions[1]).select("key", "value")
+
+
+@kv("kv_store_folded", f"SELECT key, value FROM {_USERS.format(where='')}{_ALIVE}")
+def kv_store_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = _batches(spark, sf_dir)
+    s.kv().compact(batches_only=True)
+    s.kv().compact()
+    return s.kv("users").frame().select("key", "value")
+
+
+@kv("kv_store_delete_range", f"SELECT key, value FROM {_USERS.format(where='')}{_ALIVE} AND NOT key BETWEEN '2' AND '5'")
+def kv_store_delete_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = _batches(spark, sf_dir)
+    engine = QueryEngine(s.kv("users"))
+    engine.execute(engine.prepare("DELETE WHERE key >= :a AND key <= :b"), {"a": "2", "b": "5"})
+    s.kv().compact(batches_only=True)
+    return s.kv("users").frame().select("key", "value")
+
+
+@kv("prepared_count", f"SELECT COUNT(*) AS n FROM {_USERS.format(where='')}{_ALIVE} AND key BETWEEN '1' AND '7'")
+def prepared_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = QueryEngine(_batches(spark, sf_dir)[0].kv("users"))
+    return spark.createDataFrame([(engine.query("SELECT COUNT WHERE key >= 1 AND key <= 7"),)], "n long")
+
+
+@kv("migrated_documents", "SELECT CAST(event_id AS VARCHAR) AS pk, json_extract_string(props, '$.k') AS renamed, 'x' AS tag FROM events")
+def migrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kv_ = _documents(spark, sf_dir).kv
+    Migrator(kv_, [Migration(1, "tag", (AddField("events", "tag", "x"),)), Migration(2, "rename", (RenameField("events", "k", "renamed"),))]).migrate_up()
+    return IndexManager(kv_).documents("events").select("pk", F.get_json_object("value", "$.renamed").alias("renamed"), F.get_json_object("value", "$.tag").alias("tag"))
+
+
+@kv("backup_restore", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(CASE WHEN o_custkey < 50 THEN 0 ELSE o_custkey END AS BIGINT) AS o_custkey FROM orders WHERE o_orderkey % 10 <> 7")
+def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, at = session(spark, sf_dir), workspace.folder(spark)
+    s.sql("CREATE TABLE bought (o_orderkey INTEGER PRIMARY KEY, o_custkey INTEGER)")
+    s.load("bought", spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 <> 7"))
+    s.sql("UPDATE bought SET o_custkey = 0 WHERE o_custkey < 50")
+    s.create_backup(f"{at}/backup")
+    return Session.restore(spark, f"{at}/backup", f"{at}/restored").dataframe("SELECT * FROM bought")
+
+
 # Managed tables and the store.
 def _nation(spark: SparkSession, sf_dir: str) -> Session:
     s = session(spark, sf_dir)

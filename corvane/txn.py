@@ -165,6 +165,10 @@ class Transaction:
             m.kv += [s | {"seq": m.version} for s in segments.values()]
 
         version = self.store.commit(self.base, change, wrote, self._conflict)
+        if self.kv:
+            from .sources.kv import KeyValue
+
+            KeyValue(self.store)._fold(version)
         for table in [t for t, s in self.staged.items() if s]:
             now = self.store.manifest(version).tables.get(table)
             if now and sum(s["kind"] == "changes" for s in now["segments"]) > FOLD_AFTER:

@@ -269,3 +269,132 @@ def test_corrupt_data_fails_loudly(s):
     s.store.files.delete(segment)
     with pytest.raises(Exception, match="(?i)path|exist"):
         s.sql("SELECT * FROM t LIMIT 0").collect()
+
+
+def test_dead_writers_block_nobody(s):
+    kv, files = s.kv(), s.store.files
+    version = s.store.latest()
+    files.put(s.store._name(version + 1) + ".lock", "left by a writer that died")
+    files.put("_left", "half a manifest")
+    assert kv.put("a", "1") == version + 1 and kv.get("a") == "1"
+    # Where links do not exist: a lease that has run out is moved away, a fresh one holds.
+    files.put("x.lock", "other")
+    files.put("_held", "mine")
+    assert not files._leased("_held", "x")
+    files.fs.setTimes(files.path("x.lock"), 1, 1)
+    assert not files._leased("_held", "x") and files._leased("_held", "x") and files.read("x") == "mine" and not files.exists("x.lock")
+    assert not files.put_new("x", "again") and files.read("x") == "mine"
+
+
+def test_concurrent_creation_has_one_winner(s):
+    out = []
+    threads = [threading.Thread(target=lambda k=k: out.append((k, s.store.files.put_new("one", str(k))))) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [k for k, ok in out if ok]
+    assert len(won) == 1 and s.store.files.read("one") == str(won[0])
+
+
+def test_collection_spares_running_commits_and_snapshots(s):
+    kv = s.kv()
+    kv.put("a", "1")
+    rows = s.spark.createDataFrame([("", "b", "2", 0, 0, False)], "namespace string, key string, value string, seq long, expiry long, deleted boolean")
+    segment = s.store.write(rows, "kv")  # written, not committed yet
+    assert s.store.collect_garbage() == 0 and s.store.files.exists(segment["path"])
+    s.store.commit(s.store.latest(), lambda m: m.kv.append(segment | {"seq": m.version}), {})
+    assert kv.scan_all() == [("a", "1"), ("b", "2")]
+    snap = kv.snapshot()
+    kv.delete("a")
+    kv.compact()
+    s.store.collect_garbage(older_than_s=0)
+    assert snap.get("a") == "1" and kv.get("a") is None
+
+
+def test_the_log_folds_itself(s, monkeypatch):
+    from corvane.sources import kv as module
+
+    monkeypatch.setattr(module, "FOLD_BATCHES", 3)
+    monkeypatch.setattr(module, "FOLD_FOLDERS", 2)
+    kv, model = s.kv(), {}
+    snap = None
+    for k in range(9):
+        if k % 4 == 3:
+            kv.delete("k1")
+            model.pop("k1", None)
+        else:
+            kv.write_batch(Batch().put(f"k{k % 3}", str(k)).put("z", str(k)))
+            model |= {f"k{k % 3}": str(k), "z": str(k)}
+        if k == 4:
+            snap, then = kv.snapshot(), dict(model)
+        assert len(s.store.manifest().kv) <= 5
+    assert kv.scan_all() == sorted(model.items()) and snap.scan("", "~") == sorted(then.items())
+
+
+def test_changes_between_read_and_write_are_seen(s, monkeypatch):
+    """A document that is written while a migration, a unique check or a range delete runs: none is lost."""
+    kv = s.kv()
+    kv.write_batch(Batch().put("c:1", '{"a": 1}').put("c:2", '{"a": 2}'))
+    write, once = s.store.write, []
+
+    def meanwhile(key, value):
+        def slow(df, kind):
+            out = write(df, kind)
+            if not once:
+                once.append(key)
+                kv.put(key, value)
+            return out
+
+        once.clear()
+        monkeypatch.setattr(s.store, "write", slow)
+
+    meanwhile("c:1", '{"a": 7}')
+    Migrator(kv, [Migration(1, "b", (AddField("c", "b", 0),))]).migrate_up()
+    assert kv.get("c:1") == '{"a": 7, "b": 0}' and kv.get("c:2") == '{"a": 2, "b": 0}'
+    made = IndexManager(kv)
+    made.create_index("by_a", "c", ["a"], unique=True)
+    meanwhile("c:9", '{"a": 5}')
+    with pytest.raises(UniqueViolation):
+        made.put_document("c", "8", {"a": 5})
+    assert kv.get("c:8") is None and made.lookup("by_a", [5]) == ["9"]
+    meanwhile("c:4", "late")
+    engine = QueryEngine(kv)
+    assert engine.query("DELETE WHERE key >= c:1 AND key <= c:5") == 3 and kv.scan_prefix("c:") == [("c:9", '{"a": 5}')]
+    assert engine.query("DELETE WHERE key >= x AND key <= y") == 0
+
+
+def test_large_sums_are_averaged(s):
+    s.sql("CREATE TABLE big (k INTEGER PRIMARY KEY, v INTEGER, w WIDE)")
+    s.sql("INSERT INTO big VALUES " + ", ".join(f"({k}, {9 * 10**18 + k}, {10**30 + k})" for k in range(30)))
+    ((v, w),) = s.sql("SELECT AVG(v), AVG(w) FROM big").collect()
+    assert str(v) == "9000000000000000014.500000000000000" and str(w) == "1000000000000000000000000000014.500000"
+    assert s.sql("SELECT AVG(v) FROM big WHERE k > 99").collect() == [(None,)]
+    s.sql("INSERT INTO big VALUES (-1, -2, 1), (-2, -1, 1), (-3, -1, 1)")
+    assert str(s.sql("SELECT AVG(v) FROM big WHERE k < 0").collect()[0][0]) == "-1.333333333333333"
+
+
+def test_rankings_use_no_single_task(spark, tmp_path):
+    import re
+
+    rows = [(k, (k * 7919) % 10_007 if k % 11 else None, "abc"[k % 3]) for k in range(6000)]
+    spark.createDataFrame(rows, "k long, v long, g string").repartition(4).write.parquet(f"{tmp_path}/t")
+    s = Session(spark)
+    s.register_parquet("t", f"{tmp_path}/t", "k")
+    for text, down, distinct in (("RANK() OVER (ORDER BY v)", False, False), ("DENSE_RANK() OVER (ORDER BY v DESC)", True, True), ("ROW_NUMBER() OVER (ORDER BY g DESC)", True, None)):
+        df = s.dataframe(f"SELECT k, {text} FROM t")
+        got = {r[0]: r[1] for r in df.collect()}
+        if distinct is None:
+            order = sorted(rows, key=lambda r: (-ord(r[2]), str(r[0])))
+            want = {r[0]: i + 1 for i, r in enumerate(order)}
+        else:
+            least = lambda v: (v is None, v or 0)
+            values = sorted([r[1] for r in rows] if not distinct else {r[1] for r in rows}, key=least, reverse=down)
+            place = {}
+            for i, v in enumerate(values):
+                place.setdefault(v, i + 1)
+            want = {k: place[v] for k, v, _ in rows}
+        assert got == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Windows are over ranges of values, or over the totals of ranges.
+        assert set(re.findall(r"windowspecdefinition\((\w+)#", plan)) <= {"_range", "_base"} and "SinglePartition" not in plan
