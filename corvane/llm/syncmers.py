@@ -10,7 +10,8 @@ The fingerprint of a text is the sorted list of the SIZE least distinct hashes o
 in hexadecimal digits, joined by commas. A text of fewer than K units has the hash of all its units as the only one; a
 text without units has the empty fingerprint. The likeness of two fingerprints is the share of common hashes among the
 SIZE least of their union, an estimate of the Jaccard similarity of the syncmer sets; two empty ones have likeness 1, an
-empty and another one 0.
+empty and another one 0. Beside the hashes stand their places, the number of the unit at which each is first found, so
+that fingerprints can also be matched by position: in_place counts the common anchors that stand at one place.
 
 Null text counts as empty. A null doc_id counts as the least. Rows with equal doc_id follow each other by descending
 text. Extra columns are ignored; an empty table gives an empty result.
@@ -29,39 +30,65 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes of the closed syncmers of text, in text order."""
+def placed(text: Column, k: int = K, s: int = S) -> Column:
+    """array<struct<hash bigint, at int>>: hashes of the closed syncmers of text and the number of their first unit, in text order."""
     units = F.regexp_extract_all(text, F.lit(f"(?<!\\S)\\S{{1,{UNIT}}}(?!\\S)|\\S"), F.lit(0))
     inner = k - s
 
+    def anchor(value: Column, at: Column) -> Column:
+        return F.struct(value.alias("hash"), at.alias("at"))
+
     def chosen(h: Column) -> Column:
         def pick(m: Column) -> Column:
             def one(i: Column) -> Column:
                 first, last = F.get(m, i), F.get(m, i + inner)
                 least = F.least(*[F.get(m, i + j) for j in range(inner + 1)])
                 middle = [F.get(h, i + j) for j in range(s, inner)]
-                return F.when((first == least) | (last == least), F.xxhash64(first, last, *middle))
+                return F.when((first == least) | (last == least), anchor(F.xxhash64(first, last, *middle), i))
 
             return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - k), one))
 
         runs = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-        short = F.array(F.xxhash64(F.array_join(h.cast("array<string>"), ",")))
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, short).otherwise(_let(runs, pick))
+        short = F.array(anchor(F.xxhash64(F.array_join(h.cast("array<string>"), ",")), F.lit(0)))
+        return F.when(F.size(h) == 0, F.array().cast("array<struct<hash:bigint,at:int>>")).when(F.size(h) < k, short).otherwise(_let(runs, pick))
 
     return _let(F.transform(units, lambda u: F.xxhash64(u)), chosen)
 
 
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Hashes of the closed syncmers of text, in text order."""
+    return placed(text, k, s).getField("hash")
+
+
+def least(text: Column, size: int = SIZE) -> Column:
+    """As placed(): the anchors with the least hashes, each where it stands first, sorted by hash."""
+    return _let(F.sort_array(placed(F.coalesce(text, F.lit("")))), lambda s: F.slice(F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1).getField("hash") != x.getField("hash"))), 1, size))
+
+
 def fingerprint(text: Column, size: int = SIZE) -> Column:
     """array<bigint>: the least hashes, sorted."""
-    return F.slice(F.array_sort(F.array_distinct(anchors(F.coalesce(text, F.lit(""))))), 1, size)
+    return least(text, size).getField("hash")
+
+
+def in_place(a: Column, at_a: Column, b: Column, at_b: Column) -> Column:
+    """How many hashes two fingerprints have in common that stand at the same unit in both texts."""
+
+    def both(hashes: Column, places: Column) -> Column:
+        return F.zip_with(hashes, places, lambda h, p: F.xxhash64(h, p))
+
+    return F.size(F.array_intersect(both(a, at_a), both(b, at_b))).cast("long")
 
 
 def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
+def listed(places: Column) -> Column:
+    return F.array_join(places.cast("array<string>"), ",")
+
+
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
     common = F.size(F.array_intersect(F.array_intersect(union, a), b))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union)).cast("double")
 
@@ -109,18 +136,22 @@ def _bisect(edges: Column, value: Column, n: int) -> Column:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, places, edited_places,
+    in_place for each row of docs.
 
     The edited text is text with its last floor(n_chars / 2) code points replaced by the first as many of the next text.
     """
-    least = -(1 << 63)
+    lowest = -(1 << 63)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), text.alias("text"))
-    both = with_next(own.withColumn("hashes", fingerprint(F.col("text"))), ["text", "hashes"])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), text.alias("text"))
+    first = own.withColumn("found", least(F.col("text")))
+    first = first.select("doc_id", "id", "text", F.col("found.hash").alias("hashes"), F.col("found.at").alias("places"))
+    both = with_next(first, ["text", "hashes"])
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
     changed = both.withColumns({"n_chars": n, "edited": F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))})
-    changed = changed.withColumn("edited_hashes", fingerprint(F.col("edited")))
+    changed = changed.withColumn("found", least(F.col("edited")))
+    changed = changed.withColumns({"edited_hashes": F.col("found.hash"), "edited_places": F.col("found.at")})
     return changed.select(
         "doc_id",
         "n_chars",
@@ -129,4 +160,7 @@ def edited(docs: DataFrame) -> DataFrame:
         shown(F.col("edited_hashes")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        listed(F.col("places")).alias("places"),
+        listed(F.col("edited_places")).alias("edited_places"),
+        in_place(F.col("hashes"), F.col("places"), F.col("edited_hashes"), F.col("edited_places")).alias("in_place"),
     )

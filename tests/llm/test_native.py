@@ -48,6 +48,23 @@ def test_chosen_anchors_against_a_plain_version(spark):
     assert got == expected
 
 
+def test_places_of_anchors_against_a_plain_version(spark):
+    texts = [" ".join(f"w{(i * i) % 53}" for i in range(300)), "a b", "", None, "w1 w2 w3 w4 w5 w6 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = {r["doc_id"]: r["p"] for r in df.select("doc_id", syncmers.placed(F.coalesce("text", F.lit(""))).alias("p")).collect()}
+    out = {r["doc_id"]: r for r in syncmers.edited(df).collect()}
+    for k, found in hashes.items():
+        first: dict[int, int] = {}
+        for x in found:
+            first.setdefault(x["hash"], x["at"])
+        best = sorted(first)[: syncmers.SIZE]
+        assert out[k]["fingerprint"] == ",".join(f"{h & (1 << 64) - 1:016x}" for h in best)
+        assert out[k]["places"] == ",".join(str(first[h]) for h in best)
+        mine, other = (set(zip(out[k][a].split(","), out[k][b].split(","))) for a, b in (("fingerprint", "places"), ("edited_fingerprint", "edited_places")))
+        assert out[k]["in_place"] == len({x for x in mine & other if x[0]})
+    assert 0 < out[0]["in_place"] < len(hashes[0])
+
+
 def test_anchors_survive_edits_elsewhere(spark):
     a = " ".join(f"w{(i * i) % 151}" for i in range(400))
     b = "some new start of the text " + a
