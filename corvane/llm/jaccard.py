@@ -1,14 +1,16 @@
 """Join of documents whose sets of word five-grams have a Jaccard similarity of at least 0.8.
 
 A MinHash LSH forest proposes the pairs. A text's signature in a tree is a path of DEPTH levels, kept as one long whose
-order is the order of the tree's trie, so a node of the trie is a prefix of the path. Matching starts at prefixes of the
-least useful length; where more than CROWD texts share one, that node alone is opened a level deeper, down to the whole
-path. Seen from the leaves: a matched path is shortened for as long as the texts that share it stay few. Short prefixes
+order is the order of the tree's trie, so a node of the trie is a prefix of the path and a run of the sorted paths. All
+paths are sorted once, over ranges that split even equal paths; what the last run of a range shares with the next ranges
+is added up on the driver, a few numbers a range. A text matches by the shortest useful prefix that at most CROWD texts
+share, else by the whole path. Short prefixes
 meet a pair at the threshold with a high chance, so texts whose prefixes all stay short are done after the first trees;
 texts in crowded parts of the trie, which match by longer prefixes, go on with further trees until the chance that a
 pair at the threshold is met reaches the target recall. Of two texts the one that ends first accounts for the pair.
 
-Texts that meet are verified by exact shingle sets where they meet: the texts of a node in one unit of work, split into
+Texts that meet are verified by exact shingle sets where they meet; a Bloom filter of their MD5 leaves the texts that
+meet none where they are, and what it lets through in error falls out of a join. The texts of a node are one unit of work, split into
 blocks of a bounded number of texts and bytes of which every two are compared. Nodes with the same texts are one. Whole
 paths that more than CROWD texts share tie their texts to dense groups first, each of which is compared once, block by
 block, whatever the number of trees in which its texts meet. A pair that meets more than once counts at its first node
@@ -28,17 +30,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import graph, scratch, textkernel, tokens
 
 THRESHOLD, RECALL = 0.8, 0.9999
-#: Levels of a path and bits of each; prefixes of fewer levels than LEAST are never tried.
-DEPTH, BITS, LEAST = 7, 9, 3
+#: Bits of the levels of a path, 63 in all; prefixes of fewer levels than LEAST are never tried, so these levels have most
+#: bits: unrelated texts must not meet by chance, as their pairs grow with the square of the table.
+BITS, LEAST = (13, 13, 13, 6, 6, 6, 6), 3
+DEPTH = len(BITS)
 #: Texts that may share a prefix before it is made longer.
 CROWD = 32
 BLOCK, BLOCK_BYTES = 128, 4_000_000
+#: Bits of the Bloom filter for each text that meets others, and at most: beyond, more texts move in vain, none is lost.
+BLOOM, BLOOM_MOST = 16, 1 << 26
 _MOST_TREES = 48
 
 
@@ -75,11 +82,11 @@ def _paths(h: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndar
         return out
     for t in range(trees):
         path = np.zeros(len(full), np.int64)
-        for f in factors[t]:
+        for f, bits in zip(factors[t], BITS):
             least = np.minimum.reduceat(low * f, starts)
             least = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            path = path << BITS | (least >> np.uint32(32 - BITS)).astype(np.int64)
-        out[:, t] = path << BITS * (DEPTH - depth)
+            path = path << bits | (least >> np.uint32(32 - bits)).astype(np.int64)
+        out[:, t] = path << sum(BITS[depth:])
     return out
 
 
@@ -104,35 +111,111 @@ def signatures(docs: DataFrame, shape: Forest) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key binary, bytes long, paths array<long>")
 
 
-def _descend(rows: DataFrame, shape: Forest, crowd: int) -> DataFrame:
-    """rows (node, t, path) -> node, bucket, depth, n: the nodes of the tries at which texts meet others. A level is
-    opened only below crowded nodes; counts are combined before they move, and a join's other side has one row a node."""
-    done = None
-    for d in range(shape.least, shape.depth + 1):
-        at = rows.withColumn("bucket", F.xxhash64("t", F.lit(d), F.shiftright("path", BITS * (DEPTH - d))))
-        shared = scratch.keep(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-        met = scratch.keep(at.join(shared, "bucket").withColumn("depth", F.lit(d)), "met")
-        here = met if d == shape.depth else met.where(F.col("n") <= crowd)
-        done = here if done is None else done.unionByName(here)
-        if d == shape.depth or shared.where(F.col("n") > crowd).isEmpty():
-            break
-        rows = met.where(F.col("n") > crowd).select("node", "t", "path")
-    return done.select("node", "bucket", "depth", "n")
+def _runs(rows: DataFrame, shape: Forest) -> DataFrame:
+    """rows (node, t, path) sorted over ranges; of those that may meet others: n, the length of the run of each prefix within
+    the range, least, the least node of the whole path's, first and last, how many of the prefixes stand in the first and
+    the last run of the range, which other ranges may go on with, and edge: 1 for the first row, 2 for the last, 3 for both."""
+    shifts = [sum(BITS[d:]) for d in range(shape.least, shape.depth + 1)]
+    names = ["part", "node", "t", "path", "n", "least", "first", "last", "edge"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        t, path, node = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        n = np.zeros((len(t), len(shifts)), np.int64)
+        first, last, edge = (np.zeros(len(t), np.int64) for _ in range(3))
+        for k, shift in enumerate(shifts):
+            prefix = path >> shift
+            starts = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (t[1:] != t[:-1])))
+            lengths = np.diff(np.append(starts, len(t)))
+            n[:, k] = np.repeat(lengths, lengths)
+            first[: lengths[0]], last[starts[-1] :] = k + 1, k + 1
+        least = np.repeat(node[starts], lengths)
+        edge[0] += 1
+        edge[-1] += 2
+        some = np.flatnonzero((n[:, 0] > 1) | (first > 0) | (last > 0))
+        part = np.full(len(some), TaskContext.get().partitionId(), np.int64)
+        for at in range(0, len(some), 50_000):
+            x = some[at : at + 50_000]
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(shifts)), pa.array(n[x].ravel()))
+            columns = [part[at : at + 50_000], node[x], t[x].astype(np.int64), path[x], counts, least[x], first[x], last[x], edge[x]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    order = ["t", "path", "node"]
+    kind = ", ".join(f"{c} array<long>" if c == "n" else f"{c} long" for c in names)
+    return rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kind)
+
+
+def _across(edges: list[Row], shifts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For the first and the last run of each range: the length over all ranges by prefix, and the least node of the whole path's."""
+    ends: dict[int, list[Row]] = {}
+    for r in edges:
+        both = ends.setdefault(r["part"], [r, r])
+        for side in (0, 1):
+            if r["edge"] >> side & 1:
+                both[side] = r
+    total = np.zeros((max(ends, default=0) + 1, 2, len(shifts)), np.int64)
+    least = np.zeros(total.shape[:2], np.int64)
+    for k, shift in enumerate(shifts):
+        runs: list[list] = []
+        for p in sorted(ends):
+            for side, r in enumerate(ends[p]):
+                if not runs or runs[-1][0] != (r["t"], r["path"] >> shift):
+                    runs.append([(r["t"], r["path"] >> shift), r["least"], 0, []])
+                # A last run that is the first one as well counts once.
+                runs[-1][2] += 0 if side and r["first"] > k else r["n"][k]
+                runs[-1][3].append((p, side))
+        for _, low, size, members in runs:
+            for p, side in members:
+                total[p, side, k], least[p, side] = size, low
+    return total, least
+
+
+def _nodes(rows: DataFrame, shape: Forest, crowd: int) -> DataFrame:
+    """rows (node, t, path) -> node, bucket, depth, n, least: the nodes of the tries at which texts meet others, how many
+    texts stand there and, if that is a whole path, the least of them."""
+    shifts = [sum(BITS[d:]) for d in range(shape.least, shape.depth + 1)]
+    runs = scratch.keep(_runs(rows, shape), "runs")
+    edges = runs.where("edge > 0").select("part", "edge", "t", "path", "n", "least", "first").collect()
+    shared = rows.sparkSession.sparkContext.broadcast(_across(edges, shifts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, low = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, node, t, path, least, first, last = (b.column(c).to_numpy() for c in ("part", "node", "t", "path", "least", "first", "last"))
+            n = b.column("n").flatten().to_numpy().reshape(len(part), len(shifts))
+            level = np.arange(len(shifts))
+            n = np.where(first[:, None] > level, total[part, 0], np.where(last[:, None] > level, total[part, 1], n))
+            least = np.where(first == len(shifts), low[part, 0], np.where(last == len(shifts), low[part, 1], least))
+            few = n <= crowd
+            at = np.where(few.any(axis=1), few.argmax(axis=1), len(shifts) - 1)
+            n, depth = n[np.arange(len(at)), at], at + shape.least
+            prefix = (path >> np.array(shifts)[at]).astype(np.uint64)
+            bucket = textkernel.mix(prefix ^ textkernel.mix((t * (DEPTH + 1) + depth).astype(np.uint64))).view(np.int64)
+            met = pa.RecordBatch.from_arrays([pa.array(c) for c in (node, bucket, depth, n, least)], names=["node", "bucket", "depth", "n", "least"])
+            yield met.filter(pa.array(n > 1))
+
+    found = runs.select("part", "node", "t", "path", "n", "least", "first", "last").mapInArrow(run, "node long, bucket long, depth long, n long, least long")
+    return scratch.keep(found, "met")
 
 
 def meetings(texts: DataFrame, shape: Forest, crowd: int) -> DataFrame:
-    """node, bucket, n: where texts (node, paths) meet, after the first trees and, for texts with longer prefixes, all."""
+    """node, bucket, n, least: where texts (node, paths) meet, after the first trees and, for texts with longer prefixes, all."""
 
     def exploded(nodes: DataFrame, a: int, b: int) -> DataFrame:
         return nodes.select("node", F.posexplode(F.slice("paths", a + 1, b - a)).alias("t", "path")).withColumn("t", F.col("t") + a)
 
-    out = _descend(exploded(texts, 0, shape.first), shape, crowd)
+    out = _nodes(exploded(texts, 0, shape.first), shape, crowd)
     if shape.first < shape.trees:
         crowded = scratch.keep(out.where(F.col("depth") > shape.least).select("node").distinct(), "crowded")
         if not crowded.isEmpty():
             more = scratch.keep(texts.select("node", "paths").join(crowded, "node", "left_semi"), "crowded_paths")
-            out = out.unionByName(_descend(exploded(more, shape.first, shape.trees), shape, crowd))
-    return out.select("node", "bucket", "n")
+            out = out.unionByName(_nodes(exploded(more, shape.first, shape.trees), shape, crowd))
+    return out.select("node", "bucket", "n", "least")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -219,6 +302,47 @@ def _key(text) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def _slots(keys: list[bytes], bits: int) -> np.ndarray:
+    """Two places in a Bloom filter for each key."""
+    return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2) & np.uint64(bits - 1)
+
+
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the MD5 in the column key: 64-bit words, a power of two of them; it crosses the driver."""
+    bits = min(BLOOM_MOST, 1 << max(16, (keys.count() * BLOOM).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_slots(b.column(0).to_pylist(), bits))
+            if len(at):
+                word, starts = np.unique(at >> np.uint64(6), return_index=True)
+                held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (word, held)], names=["word", "bits"])
+
+    found = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and text of the rows of docs whose text's key is one of wanted's, and of a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            buf, off = textkernel.raw(batch.column(0))
+            data = buf.tobytes()
+            keys = [hashlib.md5(data[x:y]).digest() for x, y in zip(off[:-1], off[1:])]
+            at = _slots(keys, 64 * len(words))
+            held = (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
+            if held.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["key", "text"]).filter(pa.array(held))
+
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "key binary, text string")
+
+
 def _with_roots(found: DataFrame) -> DataFrame:
     """node, root with a row for each root as well."""
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
@@ -243,9 +367,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     sizes = texts.select("node", "bytes")
     met = meetings(texts, shape, crowd)
-    packed = met.where(F.col("n") > crowd).select("node", "bucket")
-    hubs = scratch.keep(packed.groupBy("bucket").agg(F.min("node").alias("least")), "hubs")
-    groups = _with_roots(graph.components(packed.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    packed = met.where(F.col("n") > crowd).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = _with_roots(graph.components(packed))
     thin = met.where(F.col("n") <= crowd).join(groups.withColumnRenamed("root", "place"), "node", "left").select("node", "bucket", F.coalesce("place", F.lit(-1)).alias("place"))
     # Nodes of the tries with the same texts are one, and those within one dense group are left out.
     same = thin.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("place").alias("p"), F.max("place").alias("q"))
@@ -255,11 +378,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     buckets = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
     light = _blocks(members.join(buckets, "node").withColumnRenamed("bucket", "unit"), sizes, False, block, block_bytes)
     dense = _blocks(groups.select(F.col("root").alias("unit"), "node"), sizes, True, block, block_bytes).withColumns({"place": F.lit(-1).cast("long"), "buckets": F.array().cast("array<long>")})
-    placed = scratch.keep(light.unionByName(dense), "placed")
-    wanted = scratch.keep(placed.select("node").distinct().join(texts.select("node", "key", "copies"), "node"), "wanted")
-    found = docs.select(_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key").groupBy("node").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    placed = scratch.keep(light.unionByName(dense).join(texts.select("node", "key", "copies"), "node"), "placed")
+    found = _picked(docs, placed).groupBy("key").agg(F.first("text").alias("text"))
     # A text goes to the pair of its block with each block of its unit.
-    dealt = placed.join(found, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+    dealt = placed.join(found, "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "dense", "unit", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "node", "copies", "place", "buckets", "text"
     )
     dealt = dealt.repartition("dense", "unit", "i", "j").sortWithinPartitions("dense", "unit", "i", "j")

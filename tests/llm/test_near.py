@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.llm import decontam, graph, jaccard, textkernel
+from corvane.llm import decontam, graph, jaccard, scratch, textkernel
 
 SCHEMA = "doc_id long, text string, lang string, root string, id long"
 
@@ -147,6 +149,72 @@ def test_paths_share_prefixes_as_sets_are_alike():
     assert p.shape == (3, 40) and 0.75 < same <= 1 and (p >= 0).all()
 
 
+def test_unrelated_texts_do_not_meet_by_chance(spark):
+    """Pairs that meet by chance grow with the square of the table: with prefixes of 27 bits some 19 of these texts' would."""
+    h = np.random.default_rng(3).integers(0, 1 << 63, 20_000 * 20, dtype=np.uint64) * np.uint64(2)
+    f = jaccard.forest()
+    p = jaccard._paths(h, np.full(20_000, 20), f.trees, f.depth)
+    texts = spark.createDataFrame(pa.table({"node": np.arange(len(p)), "paths": pa.array(list(p))}))
+    assert jaccard.meetings(texts, f, jaccard.CROWD).count() <= 2
+
+
+def test_tries_are_found_without_a_join(spark, docs, monkeypatch):
+    plans, keep = {}, scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name, *a: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and keep(df, name, *a))
+    jaccard.join(docs, crowd=4)
+    assert "Join" not in plans["met"] and "Join" in plans["placed"]
+
+
+def test_meetings_over_many_ranges(spark):
+    """A path that half of the texts share goes over several ranges; nodes are those of plain tries."""
+    f, crowd, r = jaccard.forest(), 5, random.Random(2)
+    shift = lambda d: sum(jaccard.BITS[d:])
+    paths = [[0 if k % 2 else (r.randrange(40) << shift(3)) + r.choice([0, 1 << shift(4), 3]) for _ in range(f.trees)] for k in range(400)]
+
+    def tries(nodes, trees):
+        out, deep = [], set()
+        for t in trees:
+            n = Counter((d, paths[k][t] >> shift(d)) for k in nodes for d in range(f.least, f.depth + 1))
+            at = {}
+            for k in nodes:
+                d = next((d for d in range(f.least, f.depth) if n[d, paths[k][t] >> shift(d)] <= crowd), f.depth)
+                if n[d, paths[k][t] >> shift(d)] > 1:
+                    at.setdefault((d, paths[k][t] >> shift(d)), set()).add(k)
+            out += map(frozenset, at.values())
+            deep |= {k for (d, _), some in at.items() if d > f.least for k in some}
+        return out, deep
+
+    first, deep = tries(range(400), range(f.first))
+    expected = Counter(first + tries(sorted(deep), range(f.first, f.trees))[0])
+    texts = scratch.keep(spark.createDataFrame(list(enumerate(paths)), "node long, paths array<long>"), "texts")
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(held, ("37", "false")):
+            spark.conf.set(c, v)
+        got = jaccard.meetings(texts, f, crowd).collect()
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    groups, least = {}, {}
+    for x in got:
+        groups.setdefault(x["bucket"], []).append(x["node"])
+        least.setdefault(x["bucket"], set()).add(x["least"])
+    assert Counter(frozenset(g) for g in groups.values()) == expected
+    assert all(len(g) == len(set(g)) for g in groups.values())
+    assert all(x["n"] == len(groups[x["bucket"]]) for x in got)
+    assert all(least[b] == {min(g)} for b, g in groups.items() if len(g) > crowd) and any(len(g) > 150 for g in groups.values())
+
+
+def test_texts_that_meet_none_do_not_move(spark):
+    rows = [(k, f"text number {k}") for k in range(4000)] + [(5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for some in (docs.where("doc_id % 100 = 7"), docs.where("false")):
+        wanted = some.select(jaccard._key(F.col("text")).alias("key"))
+        got = jaccard._picked(docs, wanted)
+        assert got.count() <= some.count() + 100
+        assert {r["text"] for r in got.join(wanted, "key").collect()} == {r["text"] for r in some.collect()}
+
+
 def test_overlaps():
     sets = textkernel.sets(pa.array(["a b c d e f g", "b c d e f g h", "q", ""]))
     got = jaccard.overlaps(sets)
