@@ -409,10 +409,16 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **options) -> Dat
     """
     _, texts = classes(docs, threshold, **options)
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
-    kept = scratch.keep(first.select("first.id", "first.key"), "kept")
+    def numbered(i: Column, key: Column) -> dict[str, Column]:
+        return {"_id": F.coalesce(i, F.lit(0)), "_null": i.isNull(), "key": key}
+
+    own = ["_id", "_null", "key"]
+    kept = scratch.keep(first.select(*[c.alias(n) for n, c in numbered(F.col("first.id"), F.col("first.key")).items()]), "kept")
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("key", _key(F.col(names["text"])))
-    rows = rows.join(kept, "key").where(F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rows = rows.withColumns(numbered(F.col(names["doc_id"]).cast("long"), _key(F.col(names["text"]))))
+    # Texts cross one shuffle, repeated rows combined before it, and meet the kept ones where that leaves them.
+    rows = rows.dropDuplicates(own).join(kept, own)
     return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

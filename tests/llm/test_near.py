@@ -80,6 +80,22 @@ def test_deduplicate_keeps_one_of_each_class(docs, texts):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(brute(texts)[1]))
 
 
+def test_deduplicate_moves_texts_once(spark, docs):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = jaccard.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "Join" in plan and plan.count("Exchange hashpartitioning") == 2  # the documents and the kept ids
+
+
+def test_many_repeated_rows_without_id(spark):
+    rows = [(None, "a b c d e f g", k) for k in range(300)] + [(3, "a b c d e f g", 0)] * 2 + [(None, "q r", 1)] * 2 + [(0, "q r s", 1)]
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted(got, key=lambda r: r["text"]) == [(3, "a b c d e f g", 0), (None, "q r", 1), (0, "q r s", 1)]
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark, docs):
     twice = spark.createDataFrame([(1, "a b c d e f", "", "", 1), (1, "a b c d e f", "", "", 1), (None, "x", "", "", 1)], SCHEMA)
     assert sorted(r["doc_id"] or -1 for r in jaccard.deduplicate(twice).collect()) == [-1, 1]
