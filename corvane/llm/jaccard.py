@@ -4,17 +4,17 @@ A MinHash LSH forest proposes the pairs. A text's signature in a tree is a path
 order is the order of the tree's trie, so a node of the trie is a prefix of the path and a run of the sorted paths. All
 paths are sorted once, over ranges that split even equal paths; what the last run of a range shares with the next ranges
 is added up on the driver, a few numbers a range. A text matches by the shortest useful prefix that at most CROWD texts
-share, else by the whole path. Short prefixes
-meet a pair at the threshold with a high chance, so texts whose prefixes all stay short are done after the first trees;
-texts in crowded parts of the trie, which match by longer prefixes, go on with further trees until the chance that a
-pair at the threshold is met reaches the target recall. Of two texts the one that ends first accounts for the pair.
+share, else by the whole path. Short prefixes meet a pair at the threshold with a high chance, so texts whose prefixes all
+stay short are done after the first trees; texts in crowded parts of the trie, which match by longer prefixes, go on with
+further trees until the chance that a pair at the threshold is met reaches the target recall. Of two texts the one that
+ends first accounts for the pair.
 
 Texts that meet are verified by exact shingle sets where they meet; a Bloom filter of their MD5 leaves the texts that
-meet none where they are, and what it lets through in error falls out of a join. The texts of a node are one unit of work, split into
-blocks of a bounded number of texts and bytes of which every two are compared. Nodes with the same texts are one. Whole
-paths that more than CROWD texts share tie their texts to dense groups first, each of which is compared once, block by
-block, whatever the number of trees in which its texts meet. A pair that meets more than once counts at its first node
-alone, so no list of pairs is ever written: a unit returns each text's number of links and a forest of ties.
+meet none where they are, and what it lets through in error falls out of a join. The texts of a node are one unit of work,
+split into blocks of a bounded number of texts and bytes of which every two are compared. Nodes with the same texts are
+one. Whole paths that more than CROWD texts share tie their texts to dense groups first, each of which is compared once,
+block by block, whatever the number of trees in which its texts meet. A pair that meets more than once counts at its first
+node alone, so no list of pairs is ever written: a unit returns each text's number of links and a forest of ties.
 
 Nodes of the graph are distinct texts, by MD5. A null text counts as empty; texts without words link only to equal texts.
 Rows with one doc_id but different texts are different documents, and rows with a null doc_id are documents like all
@@ -114,7 +114,8 @@ def signatures(docs: DataFrame, shape: Forest) -> DataFrame:
 def _runs(rows: DataFrame, shape: Forest) -> DataFrame:
     """rows (node, t, path) sorted over ranges; of those that may meet others: n, the length of the run of each prefix within
     the range, least, the least node of the whole path's, first and last, how many of the prefixes stand in the first and
-    the last run of the range, which other ranges may go on with, and edge: 1 for the first row, 2 for the last, 3 for both."""
+    the last run of the range, which other ranges may go on with, and edge: 1 for the first row, 2 for the last, 3 for both.
+    A range's numbers are held at once, some 100 bytes a row; no text is."""
     shifts = [sum(BITS[d:]) for d in range(shape.least, shape.depth + 1)]
     names = ["part", "node", "t", "path", "n", "least", "first", "last", "edge"]
 
